@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import common
+
 
 SAFE = re.compile(r"(?<=\S)[ \n]")
 _CODECS: dict[str, "Codec"] = {}
@@ -181,6 +183,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", batch
     path: the vocabulary file, which every executor can open. A column of df
     named like `out` in any case is left out in favour of it.
     """
+    common.ship(df.sparkSession)
     df = df.drop(*[c for c in df.columns if c.lower() == out.lower() and c != text])
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
     at = df.columns.index(text)
@@ -200,6 +203,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", batch
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the string column `out`: the decoded text of the array column `ids` (empty for null)."""
+    common.ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
     at = df.columns.index(ids)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def ship(spark: SparkSession, _done: set[str] = set()) -> None:  # noqa: B006
+    """Send this package's modules to the Python workers, once an application, so that
+    executors need no installation of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _done:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="lapidary-"), "lapidary_modules.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("lapidary", os.path.relpath(full, top)))
+    sc.addPyFile(path)
+    _done.add(sc.applicationId)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
