@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, mixing, quality, sharding
+from . import bpe, chat, common, licenses, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +65,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    records = chat.conversation_records(rows.unionByName(more))
+    return chat.read_back(chat.format_records(records, "record"), "conv_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op5_license_scan": op5_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {"op5_license_scan": licenses.oracle()}
