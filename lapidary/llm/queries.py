@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, licenses, mixing, quality, sharding
+from . import bpe, chat, common, html_text, licenses, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -79,6 +84,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_license_scan": op5_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html": op9_html,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {"op5_license_scan": licenses.oracle()}
