@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, html_text, licenses, mixing, quality, sharding
+from . import bpe, chat, common, html_text, licenses, mixing, quality, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,26 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+#: (verdict, host, start of the path)
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels: those of the document whose number the path of a page names."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(urls.path_of(F.col("url")), r"^/[a-z]+/([0-9]{1,18})(?![0-9])", 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("number"), (F.col("quality") == 0).alias("bad"))
+    labelled = pages.select("url", number.alias("number")).join(labels, "number").select("url", "bad")
+    judged = urls.judge(pages, labelled, URL_RULES)
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -82,6 +102,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_html": op9_html,
