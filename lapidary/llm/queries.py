@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, html_text, licenses, mixing, quality, sharding, urls
+from . import bpe, chat, common, fingerprints, html_text, licenses, mixing, quality, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,27 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fp = fingerprints
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = fp.with_next(docs, "doc_id", ["text"])
+    rows = rows.withColumn("edited", fp.edited_text(F.col("text"), F.col("next_text")))
+    for name, prefix in (("text", ""), ("edited", "edited_"), ("next_text", "next_")):
+        rows = fp.fingerprint(rows, name, prefix)
+    near = lambda p: fp.likeness(F.col("digests"), F.col(p + "digests"), F.col(p + "differing"))
+    for p in ("edited_", "next_"):
+        rows = rows.withColumn(p + "differing", fp.difference(*map(F.col, ("digests", p + "digests", "base", p + "base"))))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        near("edited_").alias("near_edited"),
+        near("next_").alias("near_next"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -104,6 +125,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
+    "op6_fingerprints": op6_fingerprints,
     "op8_quality_rules": op8_quality_rules,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
