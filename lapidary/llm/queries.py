@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, fingerprints, html_text, licenses, mixing, quality, sharding, urls
+from . import bpe, chat, common, fingerprints, html_text, licenses, mixing, quality, sharding, similarity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similarity.join(table(spark, sf_dir, "documents"), width=5, threshold=0.8, recall=0.9999)
+    return found.select("doc_id", "class_id", "n_links", "set_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -126,6 +131,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
     "op6_fingerprints": op6_fingerprints,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
