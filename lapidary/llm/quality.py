@@ -22,29 +22,41 @@ SYMBOLS = "[#*$%&|<>]"
 FEATURES = ["n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share"]
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more, the first occurrence included.
+def _windows(words: Column) -> Column:
+    """The hashes of the three-word windows, in order; empty for under four words."""
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+    return F.when(F.size(words) >= 4, common.let(words, hashes)).otherwise(F.array().cast("array<bigint>"))
 
-    Windows are sorted by hash with their places, so equal ones stand side by
-    side; the places of those with an equal neighbour are the repeated windows.
+
+def _repeated_words(windows: Column, few: int = 24) -> Column:
+    """Words in windows that occur twice or more, the first occurrence included.
+
+    Three ways with one result: no two windows equal; few distinct repeated
+    ones, looked up among all; else windows sorted with their places, so that
+    equal ones stand side by side.
     """
 
-    def windows(w: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(w) - 3)
-        return F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i"))))
+    def repeated(s: Column) -> Column:
+        return F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (s[F.greatest(i - 1, F.lit(0))] == x)))
+
+    def sought(d: Column) -> Column:
+        places = F.transform(windows, lambda x, i: F.when(F.array_contains(d, x), i))
+        return F.filter(places, lambda i: i.isNotNull())
 
-    def places(s: Column) -> Column:
+    def sorted_out(s: Column) -> Column:
         last = F.size(s) - 1
         same = lambda i, j: s[i]["h"] == s[j]["h"]
         hit = lambda x, i: ((i > 0) & same(F.greatest(i - 1, F.lit(0)), i)) | ((i < last) & same(F.least(i + 1, last), i))
-        return F.array_sort(F.transform(F.filter(s, hit), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(s, hit), lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         step = lambda x, i: F.when(i < F.size(p) - 1, F.least(F.lit(3), p[F.least(i + 1, F.size(p) - 1)] - x)).otherwise(3)
         return F.aggregate(F.transform(p, step), F.lit(0), lambda a, x: a + x)
 
-    some = common.let(common.let(common.let(words, windows), places), covered)
-    return F.when(F.size(words) >= 4, some).otherwise(0).cast("long")
+    placed = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    some = lambda d: common.let(F.when(F.size(d) <= few, sought(d)).otherwise(common.let(placed, sorted_out)), covered)
+    found = common.let(common.let(F.sort_array(windows), repeated), some)
+    return F.when(F.size(windows) == F.size(F.array_distinct(windows)), 0).otherwise(found).cast("long")
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -57,15 +69,16 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = common.let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v)))
-    # words is read by several expressions, so the optimizer keeps it a column of its own
+    # words and windows are read by several expressions, so the optimizer keeps them columns of their own
     rows = df.select(row.alias("row")).withColumn("words", common.word_list(F.col(f"row.`{text}`")))
+    rows = rows.select("row", F.size("words").cast("long").alias("n_words"), _windows(F.col("words")).alias("windows"))
     return rows.select(
         "row",
-        F.size("words").cast("long").alias("n_words"),
+        "n_words",
         (F.length(body) - F.regexp_count(body, F.lit(common.SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("words")).alias("n_repeat_words"),
+        _repeated_words(F.col("windows")).alias("n_repeat_words"),
     )
 
 
