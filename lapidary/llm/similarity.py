@@ -21,7 +21,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,11 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     return np.unique(_mix(out + np.uint64(min(width, len(h)))))
 
 
+def uid_of(id_col: str, text: str) -> Column:
+    """The id of a row, or, where it is null, one from its text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(text)), 1))
+
+
 def sketches(df: DataFrame, id_col: str, text: str, width: int, keep: int) -> DataFrame:
     """id, uid, n (shingles), k1, k2 (equal for equal sets) and sample (the `keep` least hashes) of each row."""
     common.ship(df.sparkSession)
@@ -68,11 +74,10 @@ def sketches(df: DataFrame, id_col: str, text: str, width: int, keep: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, uids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows, samples = [], []
-            for i in range(len(ids)):
-                t = batch.column(1)[i].as_py()
-                uid = ids[i] if ids[i] is not None else xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1
+            for i, uid in enumerate(uids):
+                t = batch.column(2)[i].as_py()
                 if t is None:
                     rows.append((ids[i], uid, -1, uid, 0))
                     samples.append(np.empty(0, np.int64))
@@ -90,7 +95,7 @@ def sketches(df: DataFrame, id_col: str, text: str, width: int, keep: int) -> Da
             sample = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), sample], schema.names)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), uid_of(id_col, text).alias("uid"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def runs_for(recall: float, threshold: float, children: float, levels: int) -> int:
@@ -285,7 +290,7 @@ def join(
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = groups.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     weights = reps.select("uid", "size")
-    texts = df.select(F.col(id_col).cast("long").alias("uid"), F.col(text).alias("text")).where("uid IS NOT NULL AND text IS NOT NULL")
+    texts = df.select(uid_of(id_col, text).alias("uid"), F.col(text).alias("text")).where("text IS NOT NULL")
     # rows with equal ids: the first text that has the class's least id stands for it
     full = placed.join(weights, "uid").join(texts, "uid").groupBy("uid").agg(*[F.first(c).alias(c) for c in ("label", "blocks", "i", "size")], F.min("text").alias("text"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -326,3 +331,16 @@ def join(
         "classified",
     )
     return rows.select("id", "uid", *key).join(told, key).select(F.col("id").alias(id_col), "uid", "class_id", "n_links", "set_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **joining) -> DataFrame:
+    """The rows of df that stay if of each group of linked documents the one of the least id stays.
+
+    Of rows equal in id and text one stays. Columns and texts are unchanged.
+    """
+    uid, turn = common.fresh("_uid", df.columns), common.fresh("_turn", df.columns)
+    found = join(df, id_col, text, **joining)
+    kept = found.where("uid = class_id").select(F.col("uid").alias(uid)).distinct()
+    rows = df.withColumn(uid, uid_of(id_col, text)).join(kept, uid, "left_semi")
+    again = F.row_number().over(W.partitionBy(uid, F.xxhash64(F.col(text))).orderBy(uid))
+    return rows.withColumn(turn, again).where(F.col(turn) == 1).drop(uid, turn)
