@@ -4,14 +4,19 @@ functions, and only on values that a native test marks."""
 from __future__ import annotations
 
 import difflib
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
 
+# Python workers get this module's functions by value, so executors need no installation of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def null_hidden(c: Column) -> Column:
     """Null for strings that mean null."""

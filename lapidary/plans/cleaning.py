@@ -83,8 +83,8 @@ def decide_type(name: str, rates: dict) -> tuple[str, float] | None:
     return None
 
 
-def fit_types(df: DataFrame, config: Config, plan: Plan) -> DataFrame:
-    """Decide and apply types and units."""
+def fit_types(df: DataFrame, config: Config, plan: Plan, order: str = "") -> DataFrame:
+    """Decide and apply types and units; `order` stays as it is."""
     strings = names.of_kind(df, names.is_text)
     if config.na_first and strings:
         df = df.withColumns({c: text.null_hidden(F.col(c)) for c in strings})
@@ -92,6 +92,8 @@ def fit_types(df: DataFrame, config: Config, plan: Plan) -> DataFrame:
     made: dict[str, Column] = {}
     for f in df.schema.fields:
         c = f.name
+        if c == order:
+            continue
         if names.is_text(f.dataType) and not names.is_id(c) and rates[c]["n"]:
             found = decide_type(c, rates[c])
             if found:
@@ -100,7 +102,7 @@ def fit_types(df: DataFrame, config: Config, plan: Plan) -> DataFrame:
         elif names.is_id(c) and names.is_flat(f.dataType) and not names.is_text(f.dataType):
             plan.types[c] = "id"
             made[c] = F.col(c).cast("string")
-    numeric = [f.name for f in df.schema.fields if names.is_number(f.dataType) and not names.is_id(f.name)]
+    numeric = [f.name for f in df.schema.fields if names.is_number(f.dataType) and not names.is_id(f.name) and f.name != order]
     numeric += [c for c, k in plan.types.items() if k in ("number", "currency")]
     typed = df.withColumns(made) if made else df
     if numeric:
@@ -131,9 +133,9 @@ def clean_text(df: DataFrame) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def treat_outliers(df: DataFrame, config: Config, plan: Plan) -> DataFrame:
+def treat_outliers(df: DataFrame, config: Config, plan: Plan, order: str = "") -> DataFrame:
     """Domain clamp, then bounds; with under 30 rows neither."""
-    numeric = [c for c in names.of_kind(df, names.is_number) if not names.skips_outliers(c)]
+    numeric = [c for c in names.of_kind(df, names.is_number) if not names.skips_outliers(c) and c != order]
     if not numeric or df.limit(C.OUTLIER_ROWS).count() < C.OUTLIER_ROWS:
         return df
     df = df.withColumns({c: numbers.clamp_domain(c, config.constraints, config.constraint_match) for c in numeric})
@@ -205,13 +207,13 @@ def clean(df: DataFrame, config: Config | None = None, order: str = "_row_id") -
     if order not in df.columns:
         df = df.withColumn(order, F.monotonically_increasing_id())
     business = [c for c in df.columns if c != order]
-    body = fit_types(df, config, plan)
+    body = fit_types(df, config, plan, order)
     body = clean_text(body)
     keys = config.dedup_subset or [c for c in business if names.is_flat(body.schema[c].dataType)]
     if keys:
         body = rows.dedup(body, keys, config.dedup_keep, [order])
     body = body.persist()
-    body = treat_outliers(body, config, plan)
+    body = treat_outliers(body, config, plan, order)
     checked = {f.name: rules.chunk_rule(f.name, f.dataType) for f in body.schema.fields if f.name in business}
     body = body.withColumns(checked) if checked else body
     body = fill_nulls(body, config, plan, order)
