@@ -88,7 +88,7 @@ def mix(
     share: float = 1.5,
     most: int = 2,
     block_words: int | None = None,
-    shard_rows: int = 50_000,
+    shard_rows: int = 2_000,
     seed: int = 7,
 ) -> DataFrame:
     """Every row of df, in the struct `row`, with size, source_size, target, taken, copies and part.
