@@ -126,7 +126,7 @@ class Scaler:
 
 def narrow(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Whole numbers in the narrowest of byte, short, int that holds them; doubles of whole numbers
-    likewise, other doubles as float where no value changes by more than a millionth part."""
+    likewise, other doubles as float where no value changes by over 0.0005."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     some = [c for c in columns or df.columns if isinstance(kinds[c], T.IntegralType | T.FloatType | T.DoubleType)]
     if not some:
@@ -135,7 +135,7 @@ def narrow(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     for c in some:
         v = F.col(c)
         whole = F.bool_and(v == F.floor(v)) if not isinstance(kinds[c], T.IntegralType) else F.lit(True)
-        near = F.bool_and(F.abs(v.cast("float").cast("double") - v) <= 1e-6 * F.abs(v)) if isinstance(kinds[c], T.DoubleType) else F.lit(False)
+        near = F.bool_and(F.abs(v.cast("float").cast("double") - v) <= 5e-4) if isinstance(kinds[c], T.DoubleType) else F.lit(False)
         aggs.append(F.struct(F.min(v), F.max(v), whole, near).alias(c))
     got, out = df.agg(*aggs).first(), {}
     for c in some:

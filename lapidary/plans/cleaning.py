@@ -99,7 +99,7 @@ def fit_types(df: DataFrame, config: Config, plan: Plan, order: str = "") -> Dat
             if found:
                 plan.types[c], plan.rates[c] = found
                 made[c] = MAKERS[found[0]](F.col(c))
-        elif names.is_id(c) and names.is_flat(f.dataType) and not names.is_text(f.dataType):
+        elif names.is_id(c) and names.is_flat(f.dataType):
             plan.types[c] = "id"
             made[c] = F.col(c).cast("string")
     numeric = [f.name for f in df.schema.fields if names.is_number(f.dataType) and not names.is_id(f.name) and f.name != order]

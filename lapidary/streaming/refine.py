@@ -20,15 +20,21 @@ def validated(stream: DataFrame) -> DataFrame:
     return out.withColumns(made)
 
 
+def _timed(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermarks need a time with a zone: times without one count as the session's."""
+    kind = dict(stream.dtypes)[time]
+    return (stream.withColumn(time, F.col(time).cast("timestamp")) if kind != "timestamp" else stream).withWatermark(time, delay)
+
+
 def deduplicated(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """The first row of each key; keys are forgotten `delay` behind the latest time."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed(stream: DataFrame, time: str, delay: str, size: str, group: str, value: str) -> DataFrame:
     """Counts and sums per tumbling window and group."""
     return (
-        stream.withWatermark(time, delay)
+        _timed(stream, time, delay)
         .groupBy(F.window(time, size).alias("w"), group)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
         .select(F.col("w.start").alias("start"), group, "n", "total")
@@ -37,7 +43,7 @@ def windowed(stream: DataFrame, time: str, delay: str, size: str, group: str, va
 
 def sessions(stream: DataFrame, time: str, delay: str, user: str, gap: str) -> DataFrame:
     return (
-        stream.withWatermark(time, delay)
+        _timed(stream, time, delay)
         .groupBy(F.session_window(time, gap).alias("w"), user)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), user, "n")
