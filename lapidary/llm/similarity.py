@@ -190,33 +190,31 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: in
     starts = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(runs)])
     paths = F.flatten(F.transform(starts, lambda p: _chosen(p, F.col("sample"), children)))
     rows = common.stage(reps.select(F.explode(F.array_distinct(paths)).alias("path"), "uid"), "paths")
+    alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 0.6 * F.least(F.size(a), F.size(b))
+    picks = [F.min_by("sample", F.xxhash64("uid", F.lit(k))).alias(f"s{k}") for k in range(4)]
+    votes = sum(alike(F.col(a), F.col(b)).cast("int") for a, b in (("s0", "s1"), ("s1", "s2"), ("s2", "s3")))
     final = None
     for level in range(levels):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = rows.join(sizes, "path")
-        big = sized.where(F.col("size") > bucket)
-        small = sized.where(F.col("size") <= bucket).select("path", "uid")
+        last = level == levels - 1
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+        large = common.small(common.stage(sizes.where(F.col("size") > bucket), "large"))  # at most rows / bucket paths
+        small = rows.join(large, "path", "left_anti")
         final = small if final is None else final.unionByName(small)
-        if not big.limit(1).count():
+        if not large.limit(1).count():
             break
-        members = common.stage(big.join(reps.select("uid", "sample"), "uid"), "large-buckets")
-        # four members by chance; the buckets whose members are nearly equal cannot be split
-        picks = [F.min_by("sample", F.xxhash64("uid", F.lit(k))).alias(f"s{k}") for k in range(4)]
-        alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 0.6 * F.least(F.size(a), F.size(b))
-        probe = members.groupBy("path").agg(*picks)
-        votes = sum(alike(F.col(a), F.col(b)).cast("int") for a, b in (("s0", "s1"), ("s1", "s2"), ("s2", "s3")))
-        probe = probe.select("path", (votes >= 2).alias("dense"))
-        told = members.join(probe, "path")
-        last = level == levels - 1
-        dense = told if last else told.where("dense")
+        members = common.stage(rows.join(large, "path").join(reps.select("uid", "sample"), "uid"), "members")
+        # four members by chance tell whether a bucket's sets are nearly equal: no shingle can split it
+        probe = members.groupBy("path").agg(*picks).select("path", F.lit(True).alias("dense") if last else (votes >= 2).alias("dense"))
+        told = members.join(common.small(common.stage(probe, "probes")), "path")
         pieces = F.ceil(F.col("size") / bucket).cast("long")
         salted = F.array(*[F.xxhash64("path", F.lit(s), F.pmod(F.xxhash64("uid", F.lit(s)), pieces)) for s in (101, 102, 103)])
-        final = final.unionByName(dense.select(F.explode(salted).alias("path"), "uid"))
-        if last:
-            break
-        more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, 1.5))).alias("path"), "uid")
-        rows = common.stage(more, "paths")
-    meet = common.stage(final, "buckets").join(reps.select("uid", "n", "sample"), "uid").select("path", "uid", "n", "sample")
+        final = final.unionByName(told.where("dense").select(F.explode(salted).alias("path"), "uid"))
+        if not last:
+            more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, 1.5))).alias("path"), "uid")
+            rows = common.stage(more, "paths")
+    final = common.stage(final, "buckets")
+    shared = final.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("path")
+    meet = final.join(shared, "path").join(reps.select("uid", "n", "sample"), "uid").select("path", "uid", "n", "sample")
 
     def brute(_, rows: list[dict]) -> list[tuple]:
         if len(rows) < 2:
@@ -244,15 +242,13 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     label = nodes.select("uid", F.col("uid").alias("label"))
     for _ in range(most_rounds):
         both = pairs.union(pairs.select("b", "a"))
-        parent = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p"))
-        parent = common.stage(parent, "parents")
-        moved = label.join(parent, F.col("label") == F.col("a"), "left").select("uid", F.coalesce("p", "label").alias("label"))
-        label = common.stage(moved, "labels")
-        pa_, pb = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        ends = pairs.join(pa_, "a").join(pb, "b").where("x != y")
+        parent = common.stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
+        label = label.join(parent, F.col("label") == F.col("a"), "left").select("uid", F.coalesce("p", "label").alias("label"))
+        left, right = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
+        ends = pairs.join(left, "a").join(right, "b").where("x != y")
         pairs = common.stage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         if not pairs.limit(1).count():
-            return label
+            return common.stage(label, "labels")
     raise RuntimeError("the links did not contract")
 
 
@@ -266,7 +262,7 @@ def join(
     keep: int = 64,
     bucket: int = 128,
     block: int = 256,
-    levels: int = 6,
+    levels: int = 4,
     children: float = 1.25,
     seed: int = 3,
 ) -> DataFrame:
