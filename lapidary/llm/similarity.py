@@ -261,7 +261,7 @@ def join(
     recall: float = 0.9999,
     keep: int = 64,
     bucket: int = 128,
-    block: int = 256,
+    block: int = 128,
     levels: int = 4,
     children: float = 1.25,
     seed: int = 3,
