@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import names
+from .quantiles import quantiles
 
 
 def clip(c: Column, low: float | None, high: float | None) -> Column:
@@ -33,24 +34,20 @@ class Bounds:
 
 
 def bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str, Bounds]:
-    """Outlier bounds of all columns in one aggregate job; no spread, no bounds.
+    """Outlier bounds of all columns in a few jobs; no spread, no bounds.
 
     iqr: quartiles -/+ 1.5 ranges; zscore: mean -/+ 3 sample deviations; percentile: 1st and 99th.
     """
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        made = {
-            "iqr": lambda v: F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))),
-            "zscore": lambda v: F.array(F.avg(v), F.stddev_samp(v)),
-            "percentile": lambda v: F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))),
-        }[method](v)
-        aggs += [made.alias(f"{c}\u001fb"), F.median(v).alias(f"{c}\u001fm")]
-    if not aggs:
+    if not columns:
         return {}
-    got, out, inf = df.agg(*aggs).first(), {}, float("inf")
+    shares = {"iqr": [0.25, 0.75], "zscore": [], "percentile": [0.01, 0.99]}[method]
+    got = quantiles(df, {c: [*shares, 0.5] for c in columns})
+    if method == "zscore":
+        row = df.agg(*[F.array(F.avg(c), F.stddev_samp(c)).alias(c) for c in columns]).first()
+        got = {c: [*row[c], got[c][0]] for c in columns}
+    out, inf = {}, float("inf")
     for c in columns:
-        a, b = (got[f"{c}\u001fb"] or [None, None])[:2]
+        a, b, middle = got[c]
         if a is None or b is None:
             low, high = -inf, inf
         elif method == "iqr":
@@ -59,7 +56,7 @@ def bounds(df: DataFrame, columns: list[str], method: str = "iqr") -> dict[str,
             low, high = (a - C.Z_LIMIT * b, a + C.Z_LIMIT * b) if b > 0 else (-inf, inf)
         else:
             low, high = a, b
-        out[c] = Bounds(low, high, got[f"{c}\u001fm"])
+        out[c] = Bounds(low, high, middle)
     return out
 
 
@@ -93,10 +90,13 @@ class Scaler:
 
     def fit(self, df: DataFrame, columns: list[str] | None = None) -> Scaler:
         columns = columns or self.choose(df)
+        if self.method == "robust":
+            found = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+            self.params = {c: (m or 0.0, (b or 0.0) - (a or 0.0)) for c, (a, m, b) in found.items()}
+            return self
         made = {
             "minmax": lambda v: F.array(F.min(v), F.max(v) - F.min(v)),
             "standard": lambda v: F.array(F.avg(v), F.stddev_samp(v)),
-            "robust": lambda v: F.array(F.median(v), F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))),
         }[self.method]
         if columns:
             got = df.agg(*[made(F.col(c).cast("double")).alias(c) for c in columns]).first()

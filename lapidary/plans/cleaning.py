@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions import constants as C
 from ..functions import convert, names, text
 from ..operators import categories, impute, numbers, rows, rules
+from ..operators.quantiles import quantiles
 from . import profile as P
 
 
@@ -159,14 +160,16 @@ def fill_nulls(df: DataFrame, config: Config, plan: Plan, order: str) -> DataFra
         df = df.dropna(subset=drops)
     aggs = [F.count_if(F.col(c).isNull()).alias(f"nulls\u001f{c}") for c in kinds]
     for c, k in kinds.items():
-        if names.is_number(k) and how[c] in ("median", "mean"):
-            aggs.append((F.median(c) if how[c] == "median" else F.avg(c)).alias(c))
+        if names.is_number(k) and how[c] == "mean":
+            aggs.append(F.avg(c).alias(c))
         elif not names.is_number(k) and not names.is_time(k) and how[c] == "mode":
             aggs.append(F.mode(c, True).alias(c))
     if not aggs:
         return df
     got = df.agg(*aggs).first().asDict()
     holes = {c for c in kinds if got[f"nulls\u001f{c}"]}
+    middle = [c for c in holes if names.is_number(kinds[c]) and how[c] == "median"]
+    got |= {c: v[0] for c, v in quantiles(df, {c: [0.5] for c in middle}).items()}
     fills = {}
     for c in holes:
         k = kinds[c]
@@ -245,8 +248,10 @@ def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields if f.name in columns}
     numeric = [c for c, k in kinds.items() if names.is_number(k)]
     flags = [c for c, k in kinds.items() if isinstance(k, T.BooleanType)]
-    aggs = [F.median(c).alias(c) for c in numeric] + [F.mode(c, True).alias(c) for c in flags]
+    aggs = [F.count_if(F.col(c).isNull()).alias(c) for c in numeric] + [F.mode(c, True).alias(c) for c in flags]
     got = df.agg(*aggs).first().asDict() if aggs else {}
+    numeric = [c for c in numeric if got[c]]
+    got |= {c: v[0] for c, v in quantiles(df, {c: [0.5] for c in numeric}).items()}
     made = {c: F.coalesce(F.col(c), F.lit(got[c] if got[c] is not None else 0).cast(kinds[c])) for c in numeric}
     made |= {c: F.coalesce(F.col(c), F.lit(got[c])) for c in flags if got[c] is not None}
     made |= {c: F.coalesce(F.col(c), F.lit("Unknown")) for c, k in kinds.items() if names.is_text(k)}
