@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import logging
 import os
 import time
@@ -89,7 +88,7 @@ class Cleaner:
             "path": self.source if isinstance(self.source, str) else None,
             "size": readers.human_size(size),
             "size_bytes_raw": size,
-            "fingerprint": hashlib.md5(head).hexdigest(),
+            "fingerprint": readers.fingerprint(self.spark, self.source) if isinstance(self.source, str) else None,
             "encoding": encoding,
             "encoding_confidence": confidence,
             "encoding_risk": "LOW" if confidence >= C.ENCODING_CONFIDENCE else "HIGH",
@@ -108,6 +107,7 @@ class Cleaner:
         }
         if self.partitions == 4 and self.scan_report["recommended_partitions"] > 4:
             self.partitions = self.scan_report["recommended_partitions"]
+        self.scan_report["pii"] = {c: k for c, k in profile.pii_rates(sample).items() if k}
         self._say(f"scanned {rows} rows, {len(raw.columns)} columns")
         return self
 

@@ -121,3 +121,18 @@ def mask(c: Column, kind: str, how: str = "redact") -> Column:
 def strip_html(c: Column) -> Column:
     bare = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def strip_emoji(c: Column) -> Column:
+    """Without pictographs, their joiners and variation marks."""
+    return F.regexp_replace(c, r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]", "")
+
+
+def decoded_base64(c: Column) -> Column:
+    """UTF-8 text of valid base64, else null."""
+    return F.try_to_binary(c, F.lit("base64")).cast("string")
+
+
+def log_field(c: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match; null where there is none."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

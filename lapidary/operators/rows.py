@@ -84,3 +84,45 @@ def where_all(df: DataFrame, rules: dict[str, Callable[[], Column]]) -> DataFram
     """df with `broken`: the names of the cross-column rules a row breaks (null results break none)."""
     named = [F.when(~test(), F.lit(name)) for name, test in rules.items()]
     return df.withColumn("broken", F.filter(F.array(*named), lambda x: x.isNotNull()))
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows by seeded hash of their values: the same rows in every run, however df is partitioned."""
+    return df.withColumn("_draw", F.xxhash64(F.lit(seed), *df.columns)).orderBy("_draw", *df.columns).limit(n).drop("_draw")
+
+
+def partitioned(df: DataFrame, n: int, order: str) -> DataFrame:
+    """n contiguous ranges of `order`."""
+    return df.repartitionByRange(n, order).sortWithinPartitions(order)
+
+
+def label_codes(df: DataFrame, column: str, out: str, most: int = 100_000) -> DataFrame:
+    """Codes from 0 in the order of the values, for columns of at most `most` values."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_value")).distinct()
+    if values.limit(most + 1).count() > most:
+        raise ValueError(f"{column} has over {most} values")
+    codes = values.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_value")) - 1)
+    return df.join(F.broadcast(codes), F.col(column) == F.col("_value"), "left").drop("_value")
+
+
+def resampled(df: DataFrame, time: str, unit: str, group: list[str], value: str) -> DataFrame:
+    """Count and mean per period and group."""
+    return df.groupBy(F.date_trunc(unit, time).alias("period"), *group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
+def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The n most frequent values; of equals the least."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
+def quarantined(df: DataFrame, rules: dict[str, Callable[[], Column]]) -> tuple[DataFrame, DataFrame]:
+    """Rows that break no rule, and those that do, with the names of the rules in `_error`."""
+    marked = where_all(df, rules).withColumnRenamed("broken", "_error")
+    return marked.where(F.size("_error") == 0).drop("_error"), marked.where(F.size("_error") > 0)
+
+
+def temporal_dedup(df: DataFrame, keys: list[str], time: str, seconds: int, tie: str) -> DataFrame:
+    """Rows of a key that come at least `seconds` after the key's previous row."""
+    w = W.partitionBy(*keys).orderBy(time, tie)
+    gap = F.unix_micros(F.col(time)) - F.lag(F.unix_micros(F.col(time))).over(w)
+    return df.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= seconds * 1_000_000)).drop("_gap")

@@ -123,3 +123,19 @@ def name_issues(columns: list[str]) -> dict[str, list[str]]:
         "symbols": [c for c in columns if re.search(r"[^\w\s]", c)],
         "duplicates": [c for c in columns if low.count(c.lower()) > 1],
     }
+
+
+def pii_rates(df: DataFrame) -> dict[str, dict[str, float]]:
+    """Of each string column's values, the share that holds each kind of personal data; kinds of none are left out."""
+    cols = names.of_kind(df, names.is_text)
+    if not cols:
+        return {}
+    aggs = [F.avg(_q(c).rlike(p).cast("int")).alias(f"{c}\u001f{k}") for c in cols for k, p in C.PII.items()]
+    got = df.agg(*aggs).first()
+    return {c: {k: got[f"{c}\u001f{k}"] for k in C.PII if got[f"{c}\u001f{k}"]} for c in cols}
+
+
+def value_patterns(df: DataFrame, column: str) -> DataFrame:
+    """Shapes of values (letters A, digits 9) with counts: mixed shapes tell of mixed sources."""
+    shape = F.regexp_replace(F.regexp_replace(_q(column), r"\p{L}+", "A"), r"\d+", "9")
+    return df.where(_q(column).isNotNull()).groupBy(shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"))

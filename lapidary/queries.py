@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .functions import constants as C
 from .functions import convert, names, text
 from .operators import bi, categories, impute, numbers, rows, rules
-from .plans import drift, profile
-from .sources import readers
+from .plans import cleaning, drift, profile
+from .sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -759,3 +759,114 @@ def cross_rules(spark, d):
     t = table(spark, d, "lineitem").select(*LINE_KEYS, "l_quantity", "l_tax", "l_discount")
     out = rows.where_all(t, {"few": lambda: F.col("l_quantity") <= 45, "tax": lambda: F.col("l_tax") <= F.col("l_discount")})
     return out.select(*LINE_KEYS, F.concat_ws(",", "broken").alias("broken"))
+
+
+@query("label_codes", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS code FROM orders")
+def label_codes(spark, d):
+    return rows.label_codes(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code")
+
+
+@query("resample_days", "SELECT CAST(date_trunc('day', ts) AS DATE) AS period, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def resample_days(spark, d):
+    out = rows.resampled(table(spark, d, "events"), "ts", "day", ["event_type"], "value")
+    return out.select(F.col("period").cast("date").alias("period"), "event_type", "n", r("mean").alias("mean"))
+
+
+@query("top_values", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 5")
+def top_values(spark, d):
+    return rows.top_values(table(spark, d, "part"), "p_brand", 5)
+
+
+@query(
+    "temporal_dedup",
+    """SELECT event_id FROM (SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
+    WHERE g IS NULL OR g >= 3600000000""",
+)
+def temporal_dedup(spark, d):
+    t = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return rows.temporal_dedup(t, ["user_id"], "ts", 3600, "event_id").select("event_id")
+
+
+@query("quarantine", "SELECT c_custkey, 'negative' AS error FROM customer WHERE c_acctbal < 0")
+def quarantine(spark, d):
+    _, bad = rows.quarantined(table(spark, d, "customer").select("c_custkey", "c_acctbal"), {"negative": lambda: F.col("c_acctbal") >= 0})
+    return bad.select("c_custkey", F.array_join("_error", ",").alias("error"))
+
+
+@query("value_patterns", "SELECT regexp_replace(regexp_replace(c_name, '[A-Za-z]+', 'A', 'g'), '[0-9]+', '9', 'g') AS shape, count(*) AS n FROM customer GROUP BY 1")
+def value_patterns(spark, d):
+    return profile.value_patterns(table(spark, d, "customer"), "c_name")
+
+
+@query("emoji_and_base64", "SELECT c_custkey, 'hi ' || c_name AS a, c_name AS b FROM customer")
+def emoji_and_base64(spark, d):
+    plain = F.concat(F.lit("hi "), F.col("c_name"))
+    dirty = F.concat(plain, F.lit("\U0001f600\u2764\ufe0f"))
+    coded = F.base64(F.col("c_name").cast("binary"))
+    return table(spark, d, "customer").select("c_custkey", text.strip_emoji(dirty).alias("a"), text.decoded_base64(coded).alias("b"))
+
+
+@query("pii_rates", "SELECT * FROM (VALUES ('mail', 'email', 0.5)) t(c, kind, share)")
+def pii_rates(spark, d):
+    mail = F.when(F.col("o_orderkey") % 2 == 0, F.lit("a@b.org")).otherwise(F.lit("none"))
+    t = table(spark, d, "orders").select(mail.alias("mail"))
+    return spark.createDataFrame([(c, k, round(v, 1)) for c, x in profile.pii_rates(t).items() for k, v in x.items()], "c string, kind string, share double")
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lapidary-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    path = _written(spark, "round") + ".csv"
+    writers.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return readers.load(spark, path)
+
+
+@query("json_round_trip", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def json_round_trip(spark, d):
+    path = _written(spark, "round") + ".json"
+    writers.write_json(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    return readers.load(spark, path)
+
+
+@query("parquet_round_trip", "SELECT p_partkey, p_name, p_size FROM part")
+def parquet_round_trip(spark, d):
+    path = _written(spark, "round") + ".parquet"
+    writers.write_parquet(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
+    return readers.load(spark, path)
+
+
+@query("inferred_types", "SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS done FROM orders")
+def inferred_types(spark, d):
+    """Typed columns from text alone."""
+    t = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"),
+        F.date_format("o_orderdate", "yyyy/MM/dd").alias("day"),
+        F.when(F.col("o_orderstatus") == "F", "yes").otherwise("No").alias("done"),
+    )
+    out = cleaning.fit_types(t, cleaning.Config(), cleaning.Plan())
+    return out.withColumns({"day": F.col("day").cast("date")})
+
+
+@query(
+    "auto_clean_customers",
+    """WITH t AS (SELECT c_custkey, c_acctbal, c_mktsegment, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS b FROM customer),
+    q AS (SELECT quantile_cont(b, 0.25) AS a, quantile_cont(b, 0.75) AS c FROM t),
+    k AS (SELECT c_custkey, c_mktsegment, CASE WHEN b IS NOT NULL THEN least(greatest(b, a - 1.5 * (c - a)), c + 1.5 * (c - a)) END AS b FROM t, q)
+    SELECT CAST(c_custkey AS VARCHAR) AS cust_id, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS segment_name,
+      round(coalesce(b, (SELECT median(b) FROM k)), 2) AS balance FROM k""",
+)
+def auto_clean_customers(spark, d):
+    """The whole plan: types, text, duplicates, outliers, rules, nulls, categories, audit."""
+    t = table(spark, d, "customer")
+    seg = F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit("  "), "c_mktsegment"))
+    dirty = t.select(F.col("c_custkey").cast("string").alias("cust_id"), seg.alias("segment_name"), holes("c_acctbal", "c_custkey", 7).alias("balance"), F.col("c_custkey").alias("_row_id"))
+    got, _ = cleaning.clean(dirty.unionByName(dirty.limit(5)))
+    return got.select("cust_id", "segment_name", r(F.col("balance").cast("double"), 2).alias("balance"))

@@ -82,6 +82,50 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str
     return body.select(*[F.when(~F.col(f"`{c}`").isin(C.READER_NULLS), F.col(f"`{c}`")).alias(c) for c in unique])
 
 
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """The text lines of a zip archive's files as (name, value); one task per archive."""
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for n in z.namelist():
+                        with z.open(n) as f:
+                            text = io.TextIOWrapper(f, "utf-8-sig", "replace", newline="\n")
+                            while lines := text.readlines(1 << 20):
+                                values = [x.rstrip("\r\n") for x in lines]
+                                yield pa.RecordBatch.from_pydict({"name": [n] * len(values), "value": values})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "name string, value string")
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """MD5 of a file's bytes, streamed through Spark's file systems (of a folder: of its files' MD5s in order)."""
+    import hashlib
+
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        inner = sorted(str(s.getPath()) for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
+        return hashlib.md5("".join(fingerprint(spark, f) for f in inner).encode()).hexdigest()
+    stream = fs.open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.md5Hex(stream)
+    finally:
+        stream.close()
+
+
+def row_estimate(spark: SparkSession, path: str) -> int:
+    """Physical lines less the header; quoted newlines count, so `count()` of the table is the exact number."""
+    return max(0, spark.read.text(path).count() - 1)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records or records by line, told by the first byte."""
     array = head_bytes(spark, path, 64).lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"[")

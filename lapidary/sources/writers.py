@@ -99,3 +99,23 @@ def export(df: DataFrame, folder: str, stem: str, kind: str = "parquet", single_
             if kind != "all":
                 raise
     return out
+
+
+def checkpointed(df: DataFrame, folder: str, key: str, build) -> DataFrame:
+    """build(df), written once under folder/key and read from there in later runs.
+
+    key must name the content and the plan (see `run_key`): another table or plan has another key.
+    A run that fails half-way leaves no success mark and is done again.
+    """
+    spark, path = df.sparkSession, f"{folder}/{key}"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        build(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def run_key(fingerprint: str, plan: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(f"{fingerprint}\n{plan}".encode()).hexdigest()[:32]

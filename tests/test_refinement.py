@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lapidary import __main__ as cli
 from lapidary import report
 from lapidary.api import Cleaner
-from lapidary.functions import convert, names, text
+from lapidary.functions import convert, names, text, utils
 from lapidary.operators import bi, categories, impute, numbers, rows, rules
 from lapidary.plans import cleaning, drift, profile
 from lapidary.sources import readers, writers
@@ -285,6 +285,36 @@ def test_readers(spark, tmp_path):
     assert readers.recommend_engine(1, 1, "Polars") == "Polars" and readers.human_size(0) == "0 B" and readers.human_size(1536) == "1.50 KB"
 
 
+def test_archives_fingerprints_and_checkpoints(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
+        z.writestr("a.csv", "x,y\r\n1,2\n")
+    assert [tuple(r) for r in readers.read_zip(spark, str(tmp_path / "t.zip")).collect()] == [("a.csv", "x,y"), ("a.csv", "1,2")]
+    (tmp_path / "f.csv").write_text("a\n1\n2\n")
+    assert readers.fingerprint(spark, str(tmp_path / "f.csv")) == hashlib.md5(b"a\n1\n2\n").hexdigest()
+    assert readers.row_estimate(spark, str(tmp_path / "f.csv")) == 2
+    calls, key = [], writers.run_key("content", "plan")
+    build = lambda df: calls.append(1) or df.limit(3)
+    for _ in range(2):
+        assert writers.checkpointed(spark.range(9), str(tmp_path), key, build).count() == 3
+    assert len(calls) == 1 and key != writers.run_key("content", "other plan")
+
+
+def test_helpers(spark):
+    assert utils.flatten([1, [2, (3, [4])]]) == [1, 2, 3, 4] and utils.clamp(5, 0, 3) == 3 and utils.safe_divide(1, 0) == 0.0
+    assert utils.format_number(1234567) == "1,234,567" and utils.bytes_to_gb(2**30) == 1.0
+    log = utils.RunLog()
+    with utils.timed("step", log) as t:
+        log.success("done")
+    log.skip("later")
+    assert t["seconds"] >= 0 and [e["level"] for e in log.entries] == ["SUCCESS", "INFO", "SKIP"]
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "i int, s string")
+    assert rows.sample_rows(df, 5).collect() == rows.sample_rows(df.repartition(7), 5).collect()
+    assert rows.partitioned(df, 4, "i").rdd.getNumPartitions() == 4
+
+
 def test_export_round_trip(spark, tmp_path):
     df = frame(spark, "name string, age int", ("é", 1), (None, 2))
     paths = writers.export(df, str(tmp_path), "t", "all")
