@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -26,20 +27,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def ship(spark: SparkSession, _done: set[str] = set()) -> None:  # noqa: B006
-    """Send this package's modules to the Python workers, once an application, so that
-    executors need no installation of it."""
+    """Send this package's modules to the Python workers, once an application, by way of
+    the shared folder, so that executors need no installation of it."""
     sc = spark.sparkContext
     if sc.applicationId in _done:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="lapidary-"), "lapidary_modules.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(top):
-            for n in names:
+            for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.join("lapidary", os.path.relpath(full, top)))
-    sc.addPyFile(path)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lapidary-modules-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
     _done.add(sc.applicationId)
 
 
@@ -63,8 +70,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run has."""
+    _STAGED.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all that this process has staged; how many paths went. Frames that still read them fail afterwards."""
+    gone = 0
+    while _STAGED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
