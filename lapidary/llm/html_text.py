@@ -82,8 +82,8 @@ def _hints(rest: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The candidate blocks of a page in order."""
+def blocks(page: str, hints: bool = True) -> list[Block]:
+    """The candidate blocks of a page in order; without hints, class and id names drop nothing."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     heading = False
@@ -155,10 +155,10 @@ def blocks(page: str) -> list[Block]:
             continue
         words, hidden = _hints(rest) if rest else (set(), False)
         main = words & MAIN
-        other = words & OTHER
+        other = words & OTHER if hints else set()
         if main and other <= HEADS or tag in ("body", "html", "main") or (tag == "article" and not words & COMMENTS):
             other = set()
-        drop = hidden or tag in DROPPED or bool(other) or (tag == "header" or "header" in words and not main) and not inner
+        drop = hidden or tag in DROPPED or bool(other) or (tag == "header" or hints and "header" in words and not main) and not inner
         if drop and tag not in VOID and tag not in ("body", "html"):
             if tag in BLOCKS or tag in DROPPED:
                 flush()
@@ -228,7 +228,13 @@ def main_blocks(found: list[Block], short: int = 70, long: int = 200) -> list[st
 
 
 def extract_text(page: str | None, short: int = 70, long: int = 200) -> str:
-    return "\n".join(main_blocks(blocks(page), short, long)) if page else ""
+    if not page:
+        return ""
+    found = main_blocks(blocks(page), short, long)
+    if not found:  # a name such as page-with-sidebar may have dropped the whole body: then only clear text counts
+        clear = [b.text for b in blocks(page, hints=False) if _first(b, False, short, long)]
+        found = clear if sum(map(len, clear)) >= 2 * long else []
+    return "\n".join(found)
 
 
 def extract(df: DataFrame, page: str = "html", out: str = "text", short: int = 70, long: int = 200) -> DataFrame:

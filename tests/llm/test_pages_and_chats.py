@@ -115,6 +115,12 @@ def test_html_layouts(opening):
     assert html_text.extract_text(PAGE % (BODY % (opening, opening.split()[0]))) == TEXT
 
 
+def test_html_whose_body_has_a_misleading_name():
+    words = "".join(f"<p>This is one of the {i} paragraphs that are in the body, and it is long enough to be a text of its own.</p>" for i in range(9))
+    assert html_text.extract_text(f'<body><div class="page-with-sidebar"><nav><a href=x>a</a></nav>{words}</div></body>').count("\n") == 8
+    assert html_text.extract_text('<body><nav>x</nav><div class="ad">Buy one of the things that are in the shop of the town.</div></body>') == ""
+
+
 def test_html_of_long_texts_without_function_words():
     words = "<p>" + "XQZT!! WRKJ!! " * 40 + "</p>"
     assert html_text.extract_text(PAGE % f"<article>{words}</article>") == " ".join(["XQZT!! WRKJ!!"] * 40)
