@@ -15,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 
 def _rank(key: Column, shard: Column, seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), key, shard).alias("h"), shard.alias("s"))
@@ -59,12 +57,12 @@ def write_shards(
         df.select(row.alias("row"))
         .select("row", won.alias("won"), mark.alias("mark"))
         .select(
-            (F.col("won.s") * parts + F.pmod(F.col("mark"), F.lit(parts))).cast("long").alias("bucket"),
+            (F.col("won.s") * parts + F.pmod(F.col("mark"), F.lit(parts))).cast("int").alias("bucket"),
             F.struct(F.col("mark"), F.col("won.h").alias("h"), F.col("row")).alias("item"),
         )
     )
     bucketed = (
-        scattered.repartition(shards * parts, "bucket")
+        scattered.repartitionById(shards * parts, F.col("bucket"))  # a task for each bucket, so its shuffle has its own seed
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
