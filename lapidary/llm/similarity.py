@@ -3,10 +3,12 @@
 Documents with equal shingle sets are one class from the start. Classes are
 split recursively on sampled shared shingles: a class joins the bucket of each
 shingle that a seeded hash of (path, shingle) chooses, and buckets that are
-still large split again on further shingles, so that two similar sets meet in
-a small bucket with constant chance; the number of independent runs makes that
-chance reach the target recall. Small buckets are brute-forced on samples of
-the sets, buckets of nearly equal sets (which no shingle can split) in pieces.
+still large split again on further shingles, for as many levels as that takes,
+so that two similar sets meet in a small bucket with constant chance; the number
+of independent runs makes that chance reach the target recall. Small buckets are
+brute-forced on samples of the sets; buckets of nearly equal sets, which no
+shingle can split, are joined to zones, of which all pairs of samples are
+compared, block by block.
 
 What is found similar by sample only says which classes to look at together:
 their groups are then compared exactly, all pairs, block by block, on whole
@@ -184,18 +186,16 @@ def _overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     return out
 
 
-def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: int, levels: int, children: float, seed: int) -> DataFrame:
-    """Spanning links (a, b) of classes that look similar by their samples."""
-    runs = runs_for(recall, threshold, children, 2)
-    starts = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(runs)])
-    paths = F.flatten(F.transform(starts, lambda p: _chosen(p, F.col("sample"), children)))
-    rows = common.stage(reps.select(F.explode(F.array_distinct(paths)).alias("path"), "uid"), "paths")
+def _split(rows: DataFrame, reps: DataFrame, bucket: int, children: float) -> tuple[DataFrame, DataFrame, int]:
+    """Of rows (path, uid): those of buckets of at most `bucket` sets, stars (a, b) over the buckets
+    that no shingle can split, and the number of levels gone through."""
     alike = lambda a, b: F.size(F.array_intersect(a, b)) >= 0.6 * F.least(F.size(a), F.size(b))
-    picks = [F.min_by("sample", F.xxhash64("uid", F.lit(k))).alias(f"s{k}") for k in range(4)]
-    votes = sum(alike(F.col(a), F.col(b)).cast("int") for a, b in (("s0", "s1"), ("s1", "s2"), ("s2", "s3")))
-    final = None
-    for level in range(levels):
-        last = level == levels - 1
+    picks = [F.min_by("sample", F.xxhash64("uid", F.lit(k))).alias(f"s{k}") for k in range(8)]
+    votes = sum(alike(F.col(f"s{k}"), F.col(f"s{k + 1}")).cast("int") for k in range(7))
+    final = stars = None
+    level = 0
+    while True:
+        level += 1
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
         large = common.small(common.stage(sizes.where(F.col("size") > bucket), "large"))  # at most rows / bucket paths
         small = rows.join(large, "path", "left_anti")
@@ -203,20 +203,42 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: in
         if not large.limit(1).count():
             break
         members = common.stage(rows.join(large, "path").join(reps.select("uid", "sample"), "uid"), "members")
-        # four members by chance tell whether a bucket's sets are nearly equal: no shingle can split it
-        probe = members.groupBy("path").agg(*picks).select("path", F.lit(True).alias("dense") if last else (votes >= 2).alias("dense"))
+        # members by chance tell whether a bucket's sets are nearly equal; if not, shares below 1 / 1.5 of common
+        # shingles let its like-sized children die out
+        probe = members.groupBy("path").agg(*picks, F.min("uid").alias("a")).select("path", "a", (votes >= 5).alias("dense"))
         told = members.join(common.small(common.stage(probe, "probes")), "path")
-        pieces = F.ceil(F.col("size") / bucket).cast("long")
-        salted = F.array(*[F.xxhash64("path", F.lit(s), F.pmod(F.xxhash64("uid", F.lit(s)), pieces)) for s in (101, 102, 103)])
-        final = final.unionByName(told.where("dense").select(F.explode(salted).alias("path"), "uid"))
-        if not last:
-            more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, 1.5))).alias("path"), "uid")
-            rows = common.stage(more, "paths")
-    final = common.stage(final, "buckets")
+        star = told.where("dense").select("a", F.col("uid").alias("b")).where("a != b").distinct()
+        stars = star if stars is None else stars.unionByName(star)
+        more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, 1.5))).alias("path"), "uid")
+        rows = common.stage(more, "paths")
+    if stars is None:
+        stars = reps.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
+    return common.stage(final, "buckets"), common.stage(stars.distinct(), "stars"), level
+
+
+def _placed(groups: DataFrame, block: int) -> DataFrame:
+    """groups (uid, label) with blocks, the number of blocks of about `block` rows of the label, and i, the row's own."""
+    sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    return groups.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+
+
+def _in_pairs(placed: DataFrame, *columns: str) -> DataFrame:
+    """Each row once for each pair (x, y) of its label's blocks that its own is in."""
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return placed.withColumn("o", F.explode(other)).select("label", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", *columns)
+
+
+def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: int, block: int, children: float, seed: int) -> DataFrame:
+    """Spanning links (a, b) of classes that look similar by their samples."""
+    runs = runs_for(recall, threshold, children, 2)
+    starts = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(runs)])
+    paths = F.flatten(F.transform(starts, lambda p: _chosen(p, F.col("sample"), children)))
+    rows = common.stage(reps.select(F.explode(F.array_distinct(paths)).alias("path"), "uid"), "paths")
+    final, stars, _ = _split(rows, reps, bucket, children)
     shared = final.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("path")
     meet = final.join(shared, "path").join(reps.select("uid", "n", "sample"), "uid").select("path", "uid", "n", "sample")
 
-    def brute(_, rows: list[dict]) -> list[tuple]:
+    def brute(k: tuple, rows: list[dict]) -> list[tuple]:
         if len(rows) < 2:
             return []
         n = np.array([r["n"] for r in rows])
@@ -227,7 +249,12 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: in
         return _spanning(near, [r["uid"] for r in rows])
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return common.stage(by_key(meet, ["path"], brute, schema).where("a != b").distinct(), "candidates")
+    found = by_key(meet, ["path"], brute, schema)
+    if stars.limit(1).count():
+        # what no shingle splits: overlapping dense buckets are one zone, of which all pairs are compared, block by block
+        zones = _placed(components(stars), 4 * block).join(reps.select("uid", "n", "sample"), "uid")
+        found = found.unionByName(by_key(_in_pairs(zones, "uid", "n", "sample"), ["label", "x", "y"], brute, schema))
+    return common.stage(found.where("a != b").distinct(), "candidates")
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -262,7 +289,6 @@ def join(
     keep: int = 64,
     bucket: int = 128,
     block: int = 128,
-    levels: int = 4,
     children: float = 1.25,
     seed: int = 3,
 ) -> DataFrame:
@@ -281,18 +307,14 @@ def join(
     key = ["n", "k1", "k2"]
     classes = rows.groupBy(*key).agg(F.min("uid").alias("uid"), F.count_distinct("uid").alias("size"), F.min_by("sample", "uid").alias("sample"))
     reps = common.stage(classes, "classes")
-    links = candidate_links(reps.where("n > 0").select("uid", "n", "sample"), threshold, recall, bucket, levels, children, seed)
+    links = candidate_links(reps.where("n > 0").select("uid", "n", "sample"), threshold, recall, bucket, block, children, seed)
     groups = components(links)
-    sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    placed = _placed(groups, block)
     weights = reps.select("uid", "size")
     texts = df.select(uid_of(id_col, text).alias("uid"), F.col(text).alias("text")).where("text IS NOT NULL")
     # rows with equal ids: the first text that has the class's least id stands for it
     full = placed.join(weights, "uid").join(texts, "uid").groupBy("uid").agg(*[F.first(c).alias(c) for c in ("label", "blocks", "i", "size")], F.min("text").alias("text"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = full.withColumn("o", F.explode(other)).select(
-        "label", F.least("i", "o").alias("x"), F.greatest("i", "o").alias("y"), "i", "uid", "size", "text"
-    )
+    spread = _in_pairs(full, "uid", "size", "text")
 
     def exact(k: tuple, members: list[dict]) -> list[tuple]:
         if len(members) < 2:
