@@ -257,26 +257,38 @@ def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: in
     return common.stage(found.where("a != b").distinct(), "candidates")
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(uid, label): the least uid of each link component, for all uids in links (a, b).
 
-    Each round every node moves to its least neighbour and the links follow
-    their ends, until none is left between different nodes. Rounds are written
-    out, so none depends on the lineage of the one before.
+    Each round every node moves to its first neighbour and the links follow
+    their ends, until none is left between different nodes. In even rounds the
+    first is the least, which contracts stars at once; in odd rounds ranks are
+    dealt anew by a seeded hash, of which each leaves a constant share of the nodes
+    on average, whatever the shape of the links, so that rounds grow with the
+    logarithm of the nodes. Rounds are written out, so none depends on the
+    lineage of the one before.
     """
     pairs = links.select("a", "b").where("a != b")
     nodes = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
     label = nodes.select("uid", F.col("uid").alias("label"))
-    for _ in range(most_rounds):
+    turn = 0
+    while True:
+        rank = (lambda c, t=turn: F.xxhash64(F.lit(t), c)) if turn % 2 else (lambda c: c)
         both = pairs.union(pairs.select("b", "a"))
-        parent = common.stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")), "parents")
+        first = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("rank"), F.col("b").alias("p"))).alias("f"))
+        parent = common.stage(first.select("a", F.when(F.col("f.rank") < rank(F.col("a")), F.col("f.p")).otherwise(F.col("a")).alias("p")), "parents")
         label = label.join(parent, F.col("label") == F.col("a"), "left").select("uid", F.coalesce("p", "label").alias("label"))
         left, right = parent.select("a", F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
         ends = pairs.join(left, "a").join(right, "b").where("x != y")
         pairs = common.stage(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        turn += 1
+        if turn % 8 == 0:
+            label = common.stage(label, "labels")
         if not pairs.limit(1).count():
-            return common.stage(label, "labels")
-    raise RuntimeError("the links did not contract")
+            break
+    label = common.stage(label, "labels")
+    least = label.groupBy("label").agg(F.min("uid").alias("least"))
+    return common.stage(label.join(least, "label").select("uid", F.col("least").alias("label")), "labels")
 
 
 def join(

@@ -16,3 +16,9 @@ def test_buckets_split_until_they_fit(spark):
     final, _, levels = similarity._split(spark.range(6).toDF("path").crossJoin(reps.select("uid")), reps, 4, 1.25)
     assert levels > 4
     assert max(r["count"] for r in final.groupBy("path").count().collect()) <= 4
+
+
+def test_components_of_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 50)]
+    got = {r.uid: r.label for r in similarity.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)}
