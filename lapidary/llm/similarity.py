@@ -100,12 +100,19 @@ def sketches(df: DataFrame, id_col: str, text: str, width: int, keep: int) -> Da
     return df.select(F.col(id_col).cast("long").alias("id"), uid_of(id_col, text).alias("uid"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def runs_for(recall: float, threshold: float, children: float, levels: int) -> int:
-    """Runs after which a pair at the threshold has met in a bucket of the last level with chance `recall`."""
-    shared = 2 * threshold / (1 + threshold) * children
+LATER = 1.5  #: children of a set at each level but the first
+
+
+def runs_for(recall: float, threshold: float, children: float, levels: int | None) -> int:
+    """Runs after which a pair at the threshold has met in a bucket of level `levels` with chance `recall`; None: of any level.
+
+    Of a set and a subset of it at the threshold, the share `threshold` of the sample is common, and any
+    other pair has more. As LATER * threshold is over 1, the chance has a bound that no depth goes below.
+    """
     meet = 1.0
-    for _ in range(levels):
-        meet = 1 - math.exp(-shared * meet)
+    for _ in range(1000 if levels is None else levels - 1):
+        meet = 1 - math.exp(-threshold * max(children, LATER) * meet)
+    meet = 1 - math.exp(-threshold * children * meet)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
@@ -203,13 +210,13 @@ def _split(rows: DataFrame, reps: DataFrame, bucket: int, children: float) -> tu
         if not large.limit(1).count():
             break
         members = common.stage(rows.join(large, "path").join(reps.select("uid", "sample"), "uid"), "members")
-        # members by chance tell whether a bucket's sets are nearly equal; if not, shares below 1 / 1.5 of common
+        # members by chance tell whether a bucket's sets are nearly equal; if not, shares below 1 / LATER of common
         # shingles let its like-sized children die out
         probe = members.groupBy("path").agg(*picks, F.min("uid").alias("a")).select("path", "a", (votes >= 5).alias("dense"))
         told = members.join(common.small(common.stage(probe, "probes")), "path")
         star = told.where("dense").select("a", F.col("uid").alias("b")).where("a != b").distinct()
         stars = star if stars is None else stars.unionByName(star)
-        more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, 1.5))).alias("path"), "uid")
+        more = told.where("NOT dense").select(F.explode(_chosen(F.col("path"), F.col("sample"), max(children, LATER))).alias("path"), "uid")
         rows = common.stage(more, "paths")
     if stars is None:
         stars = reps.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
@@ -230,11 +237,18 @@ def _in_pairs(placed: DataFrame, *columns: str) -> DataFrame:
 
 def candidate_links(reps: DataFrame, threshold: float, recall: float, bucket: int, block: int, children: float, seed: int) -> DataFrame:
     """Spanning links (a, b) of classes that look similar by their samples."""
-    runs = runs_for(recall, threshold, children, 2)
-    starts = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(runs)])
-    paths = F.flatten(F.transform(starts, lambda p: _chosen(p, F.col("sample"), children)))
-    rows = common.stage(reps.select(F.explode(F.array_distinct(paths)).alias("path"), "uid"), "paths")
-    final, stars, _ = _split(rows, reps, bucket, children)
+    final = stars = None
+    done = 0
+    for most in (4, None):  # further runs, enough for any depth, only where buckets are deeper
+        runs = runs_for(recall, threshold, children, most)
+        starts = F.array(*[F.xxhash64(F.lit(seed), F.lit(r)) for r in range(done, runs)])
+        paths = F.flatten(F.transform(starts, lambda p: _chosen(p, F.col("sample"), children)))
+        rows = common.stage(reps.select(F.explode(F.array_distinct(paths)).alias("path"), "uid"), "paths")
+        small, dense, levels = _split(rows, reps, bucket, children)
+        final, stars = (small, dense) if final is None else (final.unionByName(small), stars.unionByName(dense))
+        done = runs
+        if levels <= 4:
+            break
     shared = final.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("path")
     meet = final.join(shared, "path").join(reps.select("uid", "n", "sample"), "uid").select("path", "uid", "n", "sample")
 
