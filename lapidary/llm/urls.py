@@ -20,17 +20,22 @@ from pyspark.sql import functions as F
 from . import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-AUTHORITY = r"(?s)^(?:(?!://).)*://([^/?#]*)"
+
+
+def _rest(url: Column) -> Column:
+    """What follows the first ://; empty for null or without it. No pattern repeats a group: those recurse once a character."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty for null or without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY, 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
     """What follows the host up to ? or #; empty for null or without ://."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), AUTHORITY + r"([^?#]*)", 2)
+    return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -58,7 +63,6 @@ def shape_of(path: Column) -> Column:
 def templates(
     urls: DataFrame,
     labelled: DataFrame,
-    levels: int = 6,
     most_children: int = 32,
     rare: float = 0.02,
     z: float = 2.58,
@@ -67,9 +71,10 @@ def templates(
 ) -> DataFrame:
     """(host, shape) -> template, purity (smoothed share of bad) and reject, for all hosts and shapes of urls.
 
-    urls: column url. labelled: url, bad (boolean; null unused). Segments deeper
-    than `levels` count as one wildcard of the template. With no labels at all
-    nothing is rejected.
+    urls: column url. labelled: url, bad (boolean; null unused). Paths are gone
+    through to their last segment; a path that is alone below its node keeps what is
+    left of its shape, so late levels hold only paths that still share a node.
+    With no labels at all nothing is rejected.
     """
     key = lambda df: df.select(host_of(F.col("url")).alias("host"), shape_of(path_of(F.col("url"))).alias("shape"), "lab", "bad", "n")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -77,12 +82,13 @@ def templates(
     marked = labelled.where(F.col("bad").isNotNull()).select("url", one.alias("lab"), F.col("bad").cast("long").alias("bad"), zero.alias("n"))
     tree = key(all_urls).unionByName(key(marked)).groupBy("host", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
     tree = common.stage(tree.withColumn("template", F.lit("")), "url-tree")
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for d in range(min(levels, deepest)):
+    ready, d = None, 0
+    while True:
         here = tree.withColumn("child", F.try_element_at("shape", F.lit(d + 1)))
-        child = here.where("child IS NOT NULL").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "bad")])
+        counts = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
+        child = here.where("child IS NOT NULL").groupBy("host", "template", "child").agg(F.count(F.lit(1)).alias("paths"), *counts)
         node = child.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")]
+            F.count(F.lit(1)).alias("kids"), F.sum("paths").alias("all_paths"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "lab", "bad")]
         )
         both = child.join(node, ["host", "template"])
         rest_lab, rest_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
@@ -98,16 +104,20 @@ def templates(
             .when(F.col("kids") > 1, F.lit("~"))
             .otherwise(F.col("child"))
         )
-        moves = both.select("host", "template", "child", branch.alias("branch"))
+        moves = both.select("host", "template", "child", branch.alias("branch"), (F.col("all_paths") == 1).alias("alone"))
         step = here.join(moves, ["host", "template", "child"], "left")
-        tree = common.stage(
-            step.select(
-                "host", "shape", "n", "lab", "bad", F.concat("template", F.when(F.col("branch").isNotNull(), F.concat(F.lit("/"), "branch")).otherwise("")).alias("template")
-            ),
-            "url-tree",
+        tail = F.array_join(F.slice("shape", F.lit(d + 1), F.greatest(F.size("shape") - d, F.lit(0))), "/")
+        grown = F.when(F.col("branch").isNull(), F.col("template")).when(F.col("alone"), F.concat("template", F.lit("/"), tail)).otherwise(
+            F.concat("template", F.lit("/"), "branch")
         )
-    if deepest > levels:
-        tree = tree.withColumn("template", F.when(F.size("shape") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        through = F.col("branch").isNull() | F.col("alone")
+        step = common.stage(step.select("host", "shape", "n", "lab", "bad", grown.alias("template"), through.alias("ready")), "url-tree")
+        over = step.where("ready").drop("ready")
+        ready = over if ready is None else ready.unionByName(over)
+        tree, d = step.where("NOT ready").drop("ready"), d + 1
+        if tree.isEmpty():
+            break
+    tree = ready
     leaf = tree.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     hosts = tree.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("bad").alias("host_bad"))
     lab, bad = tree.agg(F.sum("lab"), F.sum("bad")).first()

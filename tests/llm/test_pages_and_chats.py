@@ -40,6 +40,7 @@ ODD_URLS = [
     None, "", "no scheme", "http://", "http://A.ORG", "http://A.ORG/", "x://É.Org/Path?q=://z", "http://example.org/es/1#x",
     "http://sub.example.org/en/12", "https://example.org/en/2", "https://notexample.org/en/1", "http://a.com/fr/", "http://a.com/de/x?y",
     "http://com/fr/1", "http://u@h.com:80/de/", "http://h/a//b/", "a://b://c/d", "http://h/" + "x" * 20_000, "http://x.org\n/y", "HTTP://X.org/%20",
+    "a\U0001f600" * 50_000 + "://h/p", "http://" + "é\U0001f600" * 50_000 + "/p" + "x\U0001f600" * 50_000, "a\U0001f600漢" * 40_000,
 ]
 
 
@@ -81,6 +82,16 @@ def test_templates_generalise_merge_and_reject(spark):
     assert verdicts["user"] == {(next(iter(verdicts["user"]))[0], "allow")} and "*" in next(iter(verdicts["user"]))[0]
 
 
+def test_templates_see_the_deepest_segments(spark):
+    deep = "http://h.x/a/b/c/d/e/f/g/"
+    rows = [(f"{deep}{kind}/{i}",) for i in range(200) for kind in ("spam", "news")] + [("http://h.x" + "/s" * 3_000,)]
+    lab = spark.createDataFrame([(u, "/spam/" in u) for (u,) in rows[:-1]], "url string, bad boolean")
+    got = urls.judge(spark.createDataFrame(rows, "url string"), lab, []).select("row.url", "template", "verdict").collect()
+    assert {r.url for r in got if r.verdict == "block"} == {u for (u,) in rows if "/spam/" in u}
+    long = next(r.template for r in got if "/s/s" in r.url)
+    assert long.count("/") == 3_000 and long.endswith("/s" * 2_900)
+
+
 def test_url_edges(spark):
     schema = "page_id long, url string, host string, row int, verdict string"
     empty = spark.createDataFrame([], schema)
