@@ -56,10 +56,23 @@ def sketch(ds: Column, buckets: Column, salt: int = 0) -> Column:
     item = lambda d: F.struct(_bucket(d, buckets, salt).alias("b"), _mask(d, salt).alias("m"), d.alias("d"))
     into = lambda own, c: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: F.when(_has(x["m"], c), a.bitwiseXOR(x["d"])).otherwise(a))
     cells = lambda own: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: into(own, c))
-    each = lambda items: F.transform(
-        F.sequence(F.lit(0), buckets - 1), lambda b: common.let(F.filter(items, lambda x: x["b"] == b), cells)
-    )
-    return F.flatten(common.let(F.transform(ds, item), each))
+
+    def spread(items: Column, start: Column, end: Column, widths: tuple[int, ...]) -> Column:
+        # runs of buckets, then runs of those, then each: no look at all digests for every bucket
+        if not widths:
+            return F.flatten(F.transform(F.sequence(start, end - 1), lambda b: common.let(F.filter(items, lambda x: x["b"] == b), cells)))
+        width, last = widths[0], F.floor((end - 1 - start) / widths[0]).cast("int")
+
+        def run(k: Column) -> Column:
+            a = start + k * width
+            z = F.least(a + width, end)
+            return common.let(F.filter(items, lambda x: (x["b"] >= a) & (x["b"] < z)), lambda own: spread(own, a, z, widths[1:]))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), run))
+
+    one = common.let(F.transform(ds, item), cells)
+    many = common.let(F.transform(ds, item), lambda items: spread(items, F.lit(0), buckets, (1024, 32)))
+    return F.when(buckets == 1, one).otherwise(many)
 
 
 def subtract(a: Column, b: Column) -> Column:
