@@ -95,7 +95,8 @@ def mix(
 
     taken words of a row = copies * size + part: whole repeats, then the first
     or last `part` words (`part_from` words are skipped before). block_words:
-    words per block; by default a 64th of the least positive target, 1 to 2048.
+    words per block; by default 1 to 2048, at most a 1024th of the least positive target and
+    a 128th of a source's words per shard, as a shard may miss less than one block of its quota.
 
     Null ids and sources are ordinary values (the null source comes last); null
     and empty texts have size 0 and are taken 0 times. Rows with equal ids keep
@@ -105,12 +106,16 @@ def mix(
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     skey = F.when(F.col(f"row.`{source}`").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(f"row.`{source}`").cast("string")))
     sized = df.select(row.alias("row")).select("row", skey.alias("skey"), common.word_count(F.col(f"row.`{text}`")).alias("size"))
+    draw = F.xxhash64(F.lit(seed), F.col(f"row.`{id_col}`"), F.col("size"))
+    drawn = common.stage(sized.select("skey", "size", draw.alias("_draw")), "mix-sizes")
     totals = common.stage(
-        sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), "mix-sources"
+        drawn.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs")), "mix-sources"
     )
     planned = targets(totals, weights, share, most)
-    least, whole = planned.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target")).first()
-    block = block_words or max(1, min(2048, int((least or 0) // 64)))
+    held = F.col("source_size") / F.ceil(F.col("_docs") / shard_rows)
+    some = lambda c: F.min(F.when(F.col("target") > 0, c))
+    least, narrow, whole = planned.agg(some(F.col("target")), some(held), F.sum("target")).first()
+    block = block_words or max(1, min(2048, int((least or 0) // 1024), int((narrow or 0) // 128)))
     seats = F.lit(int((whole or 0) // block))
     sources = sainte_lague(planned, seats, "target", [], ["skey"], "_blocks")
     sources = sources.withColumns(
@@ -120,13 +125,9 @@ def mix(
         }
     ).select("skey", "source_size", "target", "_blocks", "_pieces")
     sources = common.small(common.stage(sources, "mix-quotas"))
-    draw = F.xxhash64(F.lit(seed), F.col(f"row.`{id_col}`"), F.col("size"))
-    placed = (
-        sized.join(sources, "skey")
-        .withColumn("_draw", draw)
-        .withColumn("_piece", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_draw")), F.col("_pieces")).cast("int"))
-    )
-    pieces = placed.groupBy("skey", "_piece").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
+    piece = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_draw")), F.col("_pieces")).cast("int")
+    placed = sized.join(sources, "skey").withColumn("_draw", draw).withColumn("_piece", piece)
+    pieces = drawn.join(sources, "skey").withColumn("_piece", piece).groupBy("skey", "_piece").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
     quotas = sainte_lague(pieces, F.col("_blocks"), "_words", ["skey"], ["_piece"], "_quota")
     quotas = quotas.withColumn("_quota", F.least(F.col("_quota"), F.floor(F.col("_words") * most / block).cast("long")))
     quotas = common.small(common.stage(quotas.select("skey", "_piece", "_words", "_quota"), "mix-shards"))
