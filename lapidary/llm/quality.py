@@ -72,14 +72,15 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     # words and windows are read by several expressions, so the optimizer keeps them columns of their own
     rows = df.select(row.alias("row")).withColumn("words", common.word_list(F.col(f"row.`{text}`")))
     rows = rows.select("row", F.size("words").cast("long").alias("n_words"), _windows(F.col("words")).alias("windows"))
-    return rows.select(
-        "row",
+    found = F.struct(
         "n_words",
         (F.length(body) - F.regexp_count(body, F.lit(common.SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("windows")).alias("n_repeat_words"),
     )
+    # a condition on statistics would be pushed below and compute them again for each of its mentions; not through a generator
+    return rows.select("row", F.explode(F.array(found)).alias("found")).select("row", "found.*")
 
 
 def base_failed() -> Column:
@@ -194,7 +195,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "t
         .limit(most_labelled)
     )
     rows = df.select(F.col(id_col), F.col(text)).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
-    got = statistics(rows, text).where(~base_failed()).select(
+    # staged, so that only labelled texts are counted, whatever the optimizer moves where
+    got = statistics(common.stage(rows, "labelled"), text).where(~base_failed()).select(
         F.col(f"row.`{id_col}`").alias("id"), (F.col("row._good") == 0).alias("bad"), *[c.alias(n) for n, c in features().items()]
     )
     table = sorted(got.collect(), key=lambda r: (r["id"], r["bad"], r["n_words"]))
