@@ -229,6 +229,81 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: [], 6: ["CC-BY-NC-4.0", "GPL-3.0-only"]}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD2 = BSD.replace(BSD[BSD.index("3. N") : BSD.index("THIS")], "")
+PUBLISHED = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "BSD-3-Clause": BSD, "BSD-2-Clause": BSD2, "MPL-2.0": MPL}
+
+
+def test_licenses_published_texts_however_laid_out(spark):
+    layouts = {
+        "wrapped": lambda t: t,
+        "hash": lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")),
+        "star": lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */\nint main() {}",
+        "unwrapped": lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")),
+        "one line": lambda t: " ".join(t.split()),
+        "crlf": lambda t: t.replace("\n", "\r\n"),
+    }
+    rows = [(f"{name}|{how}", "Copyright (c) 2020 A. Person\n\n" + lay(t) + "\n") for name, t in PUBLISHED.items() for how, lay in layouts.items()]
+    got = licenses.scan(spark.createDataFrame(rows, "doc string, text string")).select("row.doc", "licenses", "sentence_ids").collect()
+    wrong = [(r.doc, list(r.licenses), list(r.sentence_ids)) for r in got if list(r.licenses) != [r.doc.split("|")[0]]]
+    assert not wrong
+    assert all(any(m in s for m in licenses.MARKS) for s in licenses.SENTENCES)
+
+
 def test_licenses_oracle(spark):
     import duckdb
 
