@@ -82,18 +82,61 @@ def group_interpolate(df: DataFrame, column: str, group: list[str], order: list[
     return rows.withColumn(out or column, got).drop("_i", "_v", "_p", "_n")
 
 
+def _ranges(df: DataFrame, order: str, range_rows: int) -> DataFrame | None:
+    """df with _range, ranges of equal width of the numeric column `order`; None for an empty table."""
+    count, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    if not count:
+        return None
+    many = max(1, count // range_rows)
+    width = (high - low) / many or 1
+    return df.withColumn("_range", F.least(F.floor((F.col(order) - low) / F.lit(width)), F.lit(many - 1)).cast("int"))
+
+
+def ordered_interpolate(df: DataFrame, column: str, order: str, edge: float = 0.0, range_rows: int = 100_000) -> DataFrame:
+    """group_interpolate over the whole table by the unique numeric column `order`, range by range.
+
+    Positions and the nearest known values outside a range come from a table with one row per range.
+    """
+    placed = _ranges(df, order, range_rows)
+    if placed is None:
+        return df
+    kind = dict(df.dtypes)[column]
+    time = kind in ("timestamp", "timestamp_ntz")
+    value = F.unix_micros(F.col(column).cast("timestamp")) if time else F.col(column).cast("double")
+    w = W.partitionBy("_range").orderBy(order)
+    rows = placed.withColumn("_v", value).withColumn("_i", F.row_number().over(w).cast("long"))
+    known = F.when(F.col("_v").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_v").alias("v")))
+    rows = rows.withColumns(
+        {
+            "_p": F.last(known, True).over(w.rowsBetween(W.unboundedPreceding, 0)),
+            "_n": F.first(known, True).over(w.rowsBetween(0, W.unboundedFollowing)),
+        }
+    )
+    ends = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.min(known).alias("_f"), F.max(known).alias("_l"))
+    line = W.partitionBy(F.lit(0)).orderBy("_range")  # one row per range
+    earlier, later = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    moved = lambda c, off: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.i") + F.col(off)).alias("i"), F.col(f"{c}.v").alias("v")))
+    ends = ends.select("_range", "_off", F.last(moved("_l", "_off"), True).over(earlier).alias("_before"), F.first(moved("_f", "_off"), True).over(later).alias("_after"))
+    rows = rows.join(ends, "_range", "left")
+    p, n = F.coalesce(moved("_p", "_off"), F.col("_before")), F.coalesce(moved("_n", "_off"), F.col("_after"))
+    rows = rows.withColumns({"_a": p, "_b": n})
+    at = F.col("_i") + F.col("_off")
+    line_value = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide(at - F.col("_a.i"), F.col("_b.i") - F.col("_a.i"))
+    got = F.coalesce(F.col("_v"), line_value, F.col("_a.v"), F.col("_b.v"))
+    got = F.timestamp_micros(got.cast("long")).cast(kind) if time else F.coalesce(got, F.lit(edge))
+    return rows.withColumn(column, got).select(*df.columns)
+
+
 def ordered_fill(df: DataFrame, column: str, order: str, first: str = "ffill", range_rows: int = 100_000) -> DataFrame:
     """Forward then backward fill (or the other way round) over the whole table by the unique numeric column `order`.
 
     Ranges of `order` are filled by themselves; the last known value before and
     the first after each range come from a table with one row per range.
     """
-    count, low, high = df.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
-    if not count:
+    placed = _ranges(df, order, range_rows)
+    if placed is None:
         return df
-    many = max(1, min(10_000, count // range_rows))
-    width = (high - low) / many or 1
-    placed = df.withColumn("_range", F.least(F.floor((F.col(order) - low) / F.lit(width)), F.lit(many - 1)).cast("int"))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("o"), F.col(column).alias("v")))
     ends = placed.groupBy("_range").agg(F.min(known)["v"].alias("_f"), F.max(known)["v"].alias("_l"))
     line = W.partitionBy(F.lit(0)).orderBy("_range")  # one row per range
@@ -105,7 +148,7 @@ def ordered_fill(df: DataFrame, column: str, order: str, first: str = "ffill", r
     w = W.partitionBy("_range").orderBy(order)
     back = F.last(column, True).over(w.rowsBetween(W.unboundedPreceding, 0))
     forth = F.first(column, True).over(w.rowsBetween(0, W.unboundedFollowing))
-    rows = placed.withColumns({"_back": back, "_forth": forth}).join(F.broadcast(ends), "_range", "left")
+    rows = placed.withColumns({"_back": back, "_forth": forth}).join(ends, "_range", "left")
     left, right = F.coalesce("_back", "_before"), F.coalesce("_forth", "_after")
     filled = F.coalesce(left, right) if first == "ffill" else F.coalesce(right, left)
     return rows.withColumn(column, filled).select(*df.columns)

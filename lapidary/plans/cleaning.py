@@ -197,7 +197,7 @@ def fill_nulls(df: DataFrame, config: Config, plan: Plan, order: str) -> DataFra
         if names.is_time(kinds[c]):
             df = impute.ordered_fill(df, c, order, "bfill" if how[c] == "bfill" else "ffill")
         elif names.is_number(kinds[c]) and how[c] == "interpolation":
-            df = impute.group_interpolate(df, c, [], [order])
+            df = impute.ordered_interpolate(df, c, order)
     return df
 
 

@@ -60,13 +60,23 @@ def head_bytes(spark: SparkSession, path: str, n: int = C.SAMPLE_BYTES) -> bytes
         stream.close()
 
 
+def quoted_newlines(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a field may go on in the next line; always for UTF-16."""
+    if encoding.lower().replace("-", "").startswith("utf16"):
+        return True
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
     """All columns as strings, with reader nulls as null. The header is applied here, so repeated names become a, a.1.
 
     The header is the first line of the first file; lines equal to it are dropped as the other files' headers.
+    Files are split among tasks unless a field holds a newline, which a pass over the lines tells.
     """
     encoding = encoding or detect_encoding(head_bytes(spark, path))[0]
-    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE"}
+    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": quoted_newlines(spark, path, encoding), "mode": "PERMISSIVE"}
     raw = spark.read.options(**options, header=False, inferSchema=False).csv(path)
     first = raw.first()
     if first is None:
@@ -104,6 +114,42 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "name string, value string")
 
 
+def unzipped(spark: SparkSession, path: str, kind: str) -> str:
+    """A new folder with the members of a zip archive that have the suffix `kind`, copied as a stream: an archive can't be split.
+
+    It lies in the shared folder (spark.checkpoint.dir); a local session without one gets a temporary folder.
+    """
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("reading zip archives on a cluster needs spark.checkpoint.dir")
+        top = tempfile.mkdtemp(prefix="lapidary-zip-")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, source = f"{top.rstrip('/')}/unzipped-{uuid.uuid4().hex}", jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf).mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    archive = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        n = 0
+        while (member := archive.getNextEntry()) is not None:
+            if member.isDirectory() or detect_format(member.getName()) != kind:
+                continue
+            to = jvm.org.apache.hadoop.fs.Path(f"{folder}/member-{n:05d}.{kind}")
+            out = to.getFileSystem(conf).create(to)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(archive, out, 1 << 16, False)
+            finally:
+                out.close()
+            n += 1
+    finally:
+        archive.close()
+    if not n:
+        raise ValueError(f"no {kind} file in {path}")
+    return folder
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """MD5 of a file's bytes, streamed through Spark's file systems (of a folder: of its files' MD5s in order)."""
     import hashlib
@@ -144,6 +190,8 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 def load(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A table of any supported format; not-a-number becomes null."""
     kind = checked_format(path)
+    if path.lower().rstrip("/").endswith(".zip"):
+        path = unzipped(spark, path, kind)
     if kind in ("csv", "tsv"):
         return read_delimited(spark, path, "\t" if kind == "tsv" else ",", encoding)
     if kind == "parquet":

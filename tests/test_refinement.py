@@ -107,6 +107,14 @@ def test_fills(spark):
     none = df.withColumns({"v": F.lit(None).cast("double"), "s": F.lit(None).cast("string")})
     assert set(column(impute.numeric_fill(none, ["v"]), "v")) == {0.0} and set(column(impute.text_fill(none, ["s"]), "s")) == {"Unknown"}
     assert column(impute.group_interpolate(df, "v", [], ["i"]).orderBy("i"), "v") == [10.0, 15.0, 20.0, 30.0, 30.0]
+    many = [(7 * i, float(i * i % 11) if i % 9 in (4, 5) and not 20 < i < 60 else None) for i in range(100)]
+    holes = spark.createDataFrame(many, "i long, v double")
+    want = column(impute.group_interpolate(holes, "v", [], ["i"]).orderBy("i"), "v")
+    for rows in (1, 7, 1_000):
+        assert column(impute.ordered_interpolate(holes, "v", "i", range_rows=rows).orderBy("i"), "v") == pytest.approx(want)
+    none = holes.withColumn("v", F.lit(None).cast("double"))
+    assert set(column(impute.ordered_interpolate(none, "v", "i", range_rows=9), "v")) == {0.0}
+    assert impute.ordered_interpolate(holes.limit(0), "v", "i").count() == 0
 
 
 @pytest.mark.parametrize("rows_per_range", [1, 3, 100])
@@ -292,7 +300,13 @@ def test_archives_fingerprints_and_checkpoints(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "t.zip", "w") as z:
         z.writestr("a.csv", "x,y\r\n1,2\n")
     assert [tuple(r) for r in readers.read_zip(spark, str(tmp_path / "t.zip")).collect()] == [("a.csv", "x,y"), ("a.csv", "1,2")]
+    with zipfile.ZipFile(tmp_path / "u.csv.zip", "w") as z:
+        z.writestr("one.csv", 'x,y\n1,"a\nb"\n')
+        z.writestr("two.csv", "x,y\n2,c\n")
+        z.writestr("notes.txt", "no table")
+    assert {tuple(r) for r in readers.load(spark, str(tmp_path / "u.csv.zip")).collect()} == {("1", "a\nb"), ("2", "c")}
     (tmp_path / "f.csv").write_text("a\n1\n2\n")
+    assert not readers.quoted_newlines(spark, str(tmp_path / "f.csv"), "utf-8")
     assert readers.fingerprint(spark, str(tmp_path / "f.csv")) == hashlib.md5(b"a\n1\n2\n").hexdigest()
     assert readers.row_estimate(spark, str(tmp_path / "f.csv")) == 2
     calls, key = [], writers.run_key("content", "plan")
