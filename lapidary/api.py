@@ -107,7 +107,7 @@ class Cleaner:
         }
         if self.partitions == 4 and self.scan_report["recommended_partitions"] > 4:
             self.partitions = self.scan_report["recommended_partitions"]
-        self.scan_report["pii"] = {c: k for c, k in profile.pii_rates(sample).items() if k}
+        self.scan_report["pii"] = {c: k for c, k in profile.pii_rates(raw).items() if k}
         self._say(f"scanned {rows} rows, {len(raw.columns)} columns")
         return self
 

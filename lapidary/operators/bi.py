@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +17,13 @@ HASH = r"^[0-9a-fA-F]{32,64}$"
 ISO = r"^\d{4}-\d{2}-\d{2}"
 
 
-def _heads(df: DataFrame, columns: list[str], n: int) -> dict[str, list]:
-    """Up to n values that are not null of each column, from one bounded job."""
-    if not columns:
-        return {}
-    first = df.select(*columns).limit(C.SAMPLE_ROWS)
-    got = first.agg(*[F.slice(F.array_sort(F.collect_set(c)), F.lit(1), F.lit(n)).alias(c) for c in columns]).first()
-    return {c: list(got[c]) for c in columns}
-
-
 def iso_columns(df: DataFrame) -> list[str]:
-    """String columns whose values, as far as sampled, are ISO dates."""
-    heads = _heads(df, names.of_kind(df, names.is_text), 3)
-    return [c for c, v in heads.items() if v and all(re.match(ISO, x) for x in v)]
+    """String columns that have values, all of them ISO dates, over all rows."""
+    strings = names.of_kind(df, names.is_text)
+    if not strings:
+        return []
+    got = df.agg(*[F.bool_and(F.col(f"`{c}`").rlike(ISO)).alias(c) for c in strings]).first()
+    return [c for c in strings if got[c]]
 
 
 def bi_names(df: DataFrame) -> DataFrame:

@@ -77,11 +77,11 @@ def text_rates(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]
     return out
 
 
-def duplicate_share(df: DataFrame, rows: int = C.SAMPLE_ROWS) -> float:
-    """Of the first rows, the share that repeats another."""
+def duplicate_share(df: DataFrame) -> float:
+    """Of all rows, the share that repeats another; digests of the flat columns are compared, pre-aggregated before the shuffle."""
     flat = names.of_kind(df, names.is_flat)
-    some = df.select(*[_q(c) for c in flat]).limit(rows)
-    n, d = some.agg(F.count(F.lit(1)), F.count_distinct(F.md5(F.concat_ws("\u001f", *[F.coalesce(_q(c).cast("string"), F.lit("\u0000")) for c in flat])))).first()
+    digest = F.md5(F.concat_ws("\u001f", *[F.coalesce(_q(c).cast("string"), F.lit("\u0000")) for c in flat]))
+    n, d = df.agg(F.count(F.lit(1)), F.count_distinct(digest)).first()
     return 1 - d / n if n else 0.0
 
 

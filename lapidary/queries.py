@@ -676,11 +676,15 @@ def calc_fields(spark, d):
 
 @query(
     "scan_report",
-    """SELECT count(*) AS n_rows, 6::BIGINT AS n_columns, 'Low' AS duplicate_risk, 'Mixed' AS complexity FROM orders""",
+    """SELECT n_rows, (SELECT count(*) FROM (DESCRIBE orders)) AS n_columns, round(share, 6) AS duplicate_share,
+    CASE WHEN share >= 0.10 THEN 'High' WHEN share >= 0.02 THEN 'Medium' ELSE 'Low' END AS duplicate_risk, 'Mixed' AS complexity
+    FROM (SELECT count(*) AS n_rows, 1 - count(DISTINCT (o_custkey, o_orderstatus, o_orderpriority)) / count(*) AS share FROM orders)""",
 )
 def scan_report(spark, d):
     t = table(spark, d, "orders")
-    return spark.createDataFrame([(t.count(), len(t.columns), profile.risk(profile.duplicate_share(t)), profile.complexity(t))], "n_rows long, n_columns long, duplicate_risk string, complexity string")
+    share = profile.duplicate_share(t.select("o_custkey", "o_orderstatus", "o_orderpriority"))
+    kind = "n_rows long, n_columns long, duplicate_share double, duplicate_risk string, complexity string"
+    return spark.createDataFrame([(t.count(), len(t.columns), round(share, 6), profile.risk(share), profile.complexity(t))], kind)
 
 
 @query("schema_drift", "SELECT * FROM (VALUES ('renamed', 'o_totalprice', 'o_totalprices'), ('new', 'country', ''), ('changed', 'o_custkey', 'HIGH')) t(kind, c, detail)")
