@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from . import common
 
 CELLS, LOAD = 24, 4
-#: Paragraphs end at a newline, and inside long lines where a sentence ends in a vowel.
-BREAK = r"\n|(?<=[aeiou][.!?]) "
+#: Paragraphs end at newlines and sentence ends, those of scripts without spaces included.
+BREAK = r"\n|(?<=[.!?…]) |(?<=[。！？｡．।۔؟])"
+#: Where a paragraph of over LONG code points has no sentence end its words place the breaks: at clause ends, and between some pairs of letters.
+LONG, FINE = 300, r"(?<=[,;:]) |(?<=[、，；：])|(?<=[aeioumn]) (?=[abist])"
 
 
 def digests(text: Column) -> Column:
@@ -30,8 +32,9 @@ def digests(text: Column) -> Column:
         high = lambda h: h.bitwiseAND(F.lit(-65536))
         return common.let(high(F.xxhash64(p)), lambda h: h.bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(65535))))
 
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
-    return F.array_distinct(F.transform(parts, digest))
+    parts = F.split(F.coalesce(text, F.lit("")), BREAK)
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > LONG, F.split(p, FINE)).otherwise(F.array(p))))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: p.rlike(r"[^\x20\x09-\x0D]")), digest))
 
 
 def _bucket(d: Column, buckets: Column, salt: int) -> Column:

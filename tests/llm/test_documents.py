@@ -322,7 +322,9 @@ def test_licenses_edges(odd, empty):
 
 
 def units(s):
-    return {p for p in re.split(fingerprints.BREAK, s) if re.search("[^\x20\x09-\x0d]", p)}
+    whole = re.split(fingerprints.BREAK, s)
+    parts = [x for p in whole for x in (re.split(fingerprints.FINE, p) if len(p) > fingerprints.LONG else [p])]
+    return {p for p in parts if re.search("[^\x20\x09-\x0d]", p)}
 
 
 def jaccard(a, b):
@@ -343,6 +345,20 @@ def test_fingerprints_contract(spark, texts):
         assert same.setdefault(x, r.fingerprint) == r.fingerprint
 
 
+def test_half_edited_texts_of_one_line_stay_alike(spark):
+    words = "the old stone bridge was built in an age of trade and it still carries a road to both towns "
+    kinds = {
+        "consonants": " ".join(f"Part {i} had its end." for i in range(20)),
+        "accents": " ".join(f"Era {i} já acabó allí." for i in range(20)),
+        "chinese": "".join(f"第{i}章到此结束。" for i in range(20)),
+        "no ends": "".join(words.replace("old", f"old {i}") for i in range(20)),
+    }
+    rows = [(k, v, v[: len(v) - len(v) // 2] + "Z" * (len(v) // 2)) for k, v in kinds.items()]
+    df = spark.createDataFrame(rows, "kind string, a string, b string")
+    both = F.size(F.array_intersect(fingerprints.digests(F.col("a")), fingerprints.digests(F.col("b"))))
+    assert {r.kind: r.both >= 8 for r in df.select("kind", both.alias("both")).collect()} == dict.fromkeys(kinds, True)
+
+
 def test_sketches_of_very_long_texts(spark):
     text = "\n".join(f"line {i} of a log" for i in range(40_000))
     rows = spark.createDataFrame([(text, text.replace("line 7 ", "LINE 7 "))], "a string, b string")
