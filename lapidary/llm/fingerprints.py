@@ -23,6 +23,9 @@ CELLS, LOAD = 24, 4
 BREAK = r"\n|(?<=[.!?…]) |(?<=[。！？｡．।۔؟])"
 #: Where a paragraph of over LONG code points has no sentence end its words place the breaks: at clause ends, and between some pairs of letters.
 LONG, FINE = 300, r"(?<=[,;:]) |(?<=[、，；：])|(?<=[aeioumn]) (?=[abist])"
+#: The same breaks for a replacement by newlines: the sign is matched instead of looked back for at every place, which takes a fraction of the time.
+BREAK_AFTER = r"([.!?…]) |([。！？｡．।۔؟])"
+FINE_AFTER = r"([,;:]) |([、，；：])|([aeioumn]) (?=[abist])"
 
 
 def digests(text: Column) -> Column:
@@ -32,49 +35,77 @@ def digests(text: Column) -> Column:
         high = lambda h: h.bitwiseAND(F.lit(-65536))
         return common.let(high(F.xxhash64(p)), lambda h: h.bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(65535))))
 
-    parts = F.split(F.coalesce(text, F.lit("")), BREAK)
-    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > LONG, F.split(p, FINE)).otherwise(F.array(p))))
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), BREAK_AFTER, "$1$2\n"), "\n")
+    fine = lambda p: F.split(F.regexp_replace(p, FINE_AFTER, "$1$2$3\n"), "\n")
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > LONG, fine(p)).otherwise(F.array(p))))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p.rlike(r"[^\x20\x09-\x0D]")), digest))
 
 
-def _bucket(d: Column, buckets: Column, salt: int) -> Column:
+def _bucket(d: Column, buckets: Column, salt: int | Column) -> Column:
     return F.pmod(F.xxhash64(d, F.lit(salt)), buckets).cast("int")
 
 
-def _mask(d: Column, salt: int) -> Column:
-    """Bits of the three cells of a digest within its bucket."""
+def _places(d: Column, salt: int | Column) -> list[Column]:
+    """The three cells of a digest within its bucket, one in each third, counted from the third's start."""
     h = F.xxhash64(d, F.lit(salt + 1))
-    one = F.lit(1)
-    bit = lambda k: F.pmod(F.shiftrightunsigned(h, k), F.lit(8)).cast("int")
-    place = lambda b, base: F.call_function("shiftleft", one, b + base)
-    return place(bit(0), 0).bitwiseOR(place(bit(20), 8)).bitwiseOR(place(bit(40), 16))
+    return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(7)).cast("int") for k in (0, 20, 40)]
+
+
+def _mask(d: Column, salt: int | Column) -> Column:
+    """Bits of the three cells of a digest within its bucket."""
+    bits = [F.call_function("shiftleft", F.lit(1 << (8 * t)), p) for t, p in enumerate(_places(d, salt))]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
 def _has(mask: Column, cell: Column) -> Column:
     return F.call_function("shiftright", mask, cell).bitwiseAND(F.lit(1)) == 1
 
 
-def sketch(ds: Column, buckets: Column, salt: int = 0) -> Column:
-    """CELLS cells per bucket, one array."""
-    item = lambda d: F.struct(_bucket(d, buckets, salt).alias("b"), _mask(d, salt).alias("m"), d.alias("d"))
-    into = lambda own, c: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: F.when(_has(x["m"], c), a.bitwiseXOR(x["d"])).otherwise(a))
-    cells = lambda own: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: into(own, c))
+def _xor(ds: Column, start: Column) -> Column:
+    return F.aggregate(ds, start, lambda a, x: a.bitwiseXOR(x))
+
+
+def sketch(ds: Column, buckets: Column, salt: int | Column = 0) -> Column:
+    """CELLS cells per bucket, one array. A digest that ds has twice cancels out: the
+    sketch of two sets one after the other is the difference of their sketches."""
+    zero, eight = F.lit(0).cast("long"), F.array(*[F.lit(c) for c in range(CELLS // 3)])
+    third = [f"p{t}" for t in range(3)]
 
-    def spread(items: Column, start: Column, end: Column, widths: tuple[int, ...]) -> Column:
+    def item(d: Column) -> Column:
+        return F.struct(_bucket(d, buckets, salt).alias("b"), d.alias("d"), *[p.alias(n) for n, p in zip(third, _places(d, salt), strict=True)])
+
+    def into(own: Column, place: str, c: Column) -> Column:
+        return F.aggregate(own, zero, lambda a, x: F.when(x[place] == c, a.bitwiseXOR(x["d"])).otherwise(a))
+
+    def cells(own: Column) -> Column:
+        filled = lambda n: F.transform(eight, lambda c: into(own, n, c))
+        return F.concat(*map(filled, third))
+
+    def few(own: Column) -> Column:  # most cells stay empty
+        def filled(n: str) -> Column:
+            return common.let(
+                F.transform(own, lambda x: x[n]),
+                lambda at: F.transform(eight, lambda c: F.when(F.array_contains(at, c), into(own, n, c)).otherwise(zero)),
+            )
+
+        return F.concat(*map(filled, third))
+
+    def spread(items: Column, start: Column, end: Column, shifts: tuple[int, ...]) -> Column:
         # runs of buckets, then runs of those, then each: no look at all digests for every bucket
-        if not widths:
-            return F.flatten(F.transform(F.sequence(start, end - 1), lambda b: common.let(F.filter(items, lambda x: x["b"] == b), cells)))
-        width, last = widths[0], F.floor((end - 1 - start) / widths[0]).cast("int")
+        if not shifts:
+            return F.flatten(F.transform(F.sequence(start, end), lambda b: common.let(F.filter(items, lambda x: x["b"] == b), few)))
+        shift = F.lit(shifts[0])
+        up = lambda x: F.call_function("shiftright", x, shift)
 
         def run(k: Column) -> Column:
-            a = start + k * width
-            z = F.least(a + width, end)
-            return common.let(F.filter(items, lambda x: (x["b"] >= a) & (x["b"] < z)), lambda own: spread(own, a, z, widths[1:]))
+            a = F.call_function("shiftleft", k, shift)
+            z = F.least(a + F.lit((1 << shifts[0]) - 1), end)
+            return common.let(F.filter(items, lambda x: up(x["b"]) == k), lambda own: spread(own, a, z, shifts[1:]))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), last), run))
+        return F.flatten(F.transform(F.sequence(up(start), up(end)), run))
 
     one = common.let(F.transform(ds, item), cells)
-    many = common.let(F.transform(ds, item), lambda items: spread(items, F.lit(0), buckets, (1024, 32)))
+    many = common.let(F.transform(ds, item), lambda items: spread(items, F.lit(0), buckets - 1, (10, 5, 3)))
     return F.when(buckets == 1, one).otherwise(many)
 
 
@@ -82,55 +113,92 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def peel(cells: Column, buckets: Column, salt: int = 0, rounds: int = 10) -> Column:
-    """The digests in a difference of sketches, or null if some cell stays filled."""
-
-    def one_bucket(b: Column) -> Column:
-        own = F.slice(cells, b * CELLS + 1, F.lit(CELLS))
+def _peel_buckets(cells: Column, buckets: Column, salt: int | Column, rounds: int = 10) -> Column:
+    """For each bucket the digests in a difference of sketches, or null if some cell stays filled."""
+    whole = lambda x: F.xxhash64(x.bitwiseAND(F.lit(-65536))).bitwiseAND(F.lit(65535)) == x.bitwiseAND(F.lit(65535))
 
+    def rounds_of(own: Column, b: Column) -> Column:
         def single(x: Column, c: Column) -> Column:
-            checked = F.xxhash64(x.bitwiseAND(F.lit(-65536))).bitwiseAND(F.lit(65535)) == x.bitwiseAND(F.lit(65535))
-            return (x != 0) & checked & (_bucket(x, buckets, salt) == b) & _has(_mask(x, salt), c)
+            return (x != 0) & whole(x) & (_bucket(x, buckets, salt) == b) & _has(_mask(x, salt), c)
 
         def step(s: Column, _: Column) -> Column:
             pure = F.transform(F.array_distinct(F.filter(s["cells"], single)), lambda d: F.struct(d.alias("d"), _mask(d, salt).alias("m")))
 
             def without(p: Column) -> Column:
                 clear = lambda x, c: F.aggregate(p, x, lambda a, y: F.when(_has(y["m"], c), a.bitwiseXOR(y["d"])).otherwise(a))
-                return F.struct(
-                    F.transform(s["cells"], clear).alias("cells"), F.concat(s["found"], F.transform(p, lambda y: y["d"])).alias("found")
-                )
+                found = F.concat(s["found"], F.transform(p, lambda y: y["d"]))
+                return F.struct(F.transform(s["cells"], clear).alias("cells"), found.alias("found"), (F.size(p) > 0).alias("open"))
 
-            return F.when(F.exists(s["cells"], lambda x: x != 0), common.let(pure, lambda p: F.when(F.size(p) > 0, without(p)).otherwise(s))).otherwise(s)
+            return F.when(s["open"], common.let(pure, without)).otherwise(s)
 
-        start = F.struct(own.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+        start = F.struct(own.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("open"))
         done = lambda s: F.when(~F.exists(s["cells"], lambda x: x != 0), s["found"])
         return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, done)
 
+    def one_bucket(own: Column, b: Column) -> Column:
+        """One round mostly finds all: each third's cells add up to all digests of the bucket, so the sum
+        less those found is zero or, like a cell, the one that is left. If the cells of those found are
+        not just the filled ones, or more are left, the rounds begin."""
+        filled = F.array_remove(own, F.lit(0).cast("long"))
+
+        def rest(pure: Column) -> Column:
+            left = _xor(pure, _xor(F.slice(own, 1, CELLS // 3), F.lit(0).cast("long")))
+            return common.let(left, lambda x: F.when(x == 0, pure).when(whole(x), F.concat(pure, F.array(x))))
+
+        def checked(found: Column) -> Column:
+            covered = F.aggregate(found, F.lit(0), lambda a, x: a.bitwiseOR(_mask(x, salt)))
+            return F.when(F.bit_count(covered) == F.size(filled), found)
+
+        def peeled(pure: Column) -> Column:
+            return F.when(F.size(pure) > 0, F.coalesce(common.let(rest(pure), checked), rounds_of(own, b)))
+
+        pure = F.filter(F.array_distinct(filled), lambda x: whole(x) & (_bucket(x, buckets, salt) == b))
+        return F.when(F.size(filled) == 0, F.array().cast("array<bigint>")).otherwise(common.let(pure, peeled))
+
+    each = lambda b: common.let(F.slice(cells, b * CELLS + 1, F.lit(CELLS)), lambda own: one_bucket(own, b))
+    return F.transform(F.sequence(F.lit(0), buckets - 1), each)
+
+
+def peel(cells: Column, buckets: Column, salt: int = 0, rounds: int = 10) -> Column:
+    """The digests in a difference of sketches, or null if some cell stays filled."""
     # flatten gives null if any bucket is null
-    return F.flatten(F.transform(F.sequence(F.lit(0), buckets - 1), one_bucket))
+    return F.flatten(_peel_buckets(cells, buckets, salt, rounds))
 
 
 def difference(a: Column, b: Column, base_a: Column, base_b: Column, tries: int = 3) -> Column:
     """The digests of which a or b has one and the other none.
 
     First from the two base sketches of one bucket, then, on failure, from
-    larger ones fit for both sets, doubled and salted anew at each try; if all
-    fail (under one in a million), by comparing the sets themselves.
+    larger ones fit for both sets; the buckets that get stuck there are sketched
+    again, with twice the cells for a digest and salted anew at each try. If all
+    fail (under one in a million), or if what was peeled is in neither set, by
+    comparing the sets themselves.
     """
     one = F.lit(1)
     first = common.let(subtract(base_a, base_b), lambda cells: peel(cells, one))
-    again = []
-    for k in range(tries):
-        many = F.ceil((F.size(a) + F.size(b)) * (2**k) / LOAD).cast("int")
 
-        def attempt(n: Column, salt: int = 10 * (k + 1)) -> Column:
-            n = F.greatest(n, F.lit(1))
-            return common.let(subtract(sketch(a, n, salt), sketch(b, n, salt)), lambda cells: peel(cells, n, salt))
+    none = F.array().cast("array<bigint>")
+
+    def attempt(s: Column, by: Column) -> Column:
+        many = F.greatest(F.ceil(F.size(s["rest"]) * by["more"] / LOAD).cast("int"), one)
+
+        def again(n: Column, got: Column) -> Column:
+            stuck = F.filter(s["rest"], lambda d: got[_bucket(d, n, by["salt"])].isNull())
+            found = F.flatten(F.filter(got, lambda x: x.isNotNull()))
+            return F.struct(F.concat(s["found"], found).alias("found"), F.when(F.exists(got, lambda x: x.isNull()), stuck).otherwise(none).alias("rest"))
+
+        def by_buckets(n: Column) -> Column:
+            peeled = common.let(sketch(s["rest"], n, by["salt"]), lambda cells: _peel_buckets(cells, n, by["salt"]))
+            return common.let(peeled, lambda got: again(n, got))
+
+        return F.when(F.size(s["rest"]) > 0, common.let(many, by_buckets)).otherwise(s)
 
-        again.append(common.let(many, attempt))
+    start = F.struct(none.alias("found"), F.concat(a, b).alias("rest"))
+    each = F.array(*[F.struct(F.lit(10 * (k + 1)).alias("salt"), F.lit(2**k).alias("more")) for k in range(tries)])
+    larger = F.aggregate(each, start, attempt, lambda s: F.when(F.size(s["rest"]) == 0, s["found"]))
     exact = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return F.coalesce(first, *again, exact)
+    known = lambda found: F.when(F.size(F.array_except(F.array_except(found, a), b)) == 0, found)
+    return F.coalesce(common.let(first, known), common.let(larger, known), exact)
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -154,12 +222,14 @@ def fingerprint(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     return df.withColumn(f"{prefix}fingerprint", serialize(F.col(f"{prefix}digests"), F.col(f"{prefix}base")))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], bucket_rows: int = 4_000, most_buckets: int = 4_096) -> DataFrame:
+def with_next(
+    df: DataFrame, id_col: str, columns: list[str], bucket_rows: int = 4_000, most_buckets: int = 4_096, ties: list[str] | None = None
+) -> DataFrame:
     """df with next_<c> for each of columns: those of the next row by descending id, after the last the first's.
 
     Ids are cut into ranges of about `bucket_rows` by percentiles; each range is
     ordered by itself, with the first rows of the range below as its end. Ties
-    of id are ordered by the hash of the columns; null ids come last. Rows of
+    of id are ordered by the hash of the columns (or of `ties`); null ids come last. Rows of
     one id share a range, so ids should be nearly unique.
     """
     key = F.col(id_col)
@@ -192,7 +262,7 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], bucket_rows: int =
     own = F.struct(F.col("_bucket").cast("int").alias("b"), F.lit(0).alias("g"))
     twice = F.array(own, F.struct(ghost.alias("b"), F.lit(1).alias("g")))
     placed = placed.withColumn("_at", F.explode(F.when(is_top | (key.isNull() & F.lit(None in above)), twice).otherwise(F.array(own))))
-    order = W.partitionBy("_at.b").orderBy(F.col("_at.g"), key.desc_nulls_last(), F.xxhash64(*columns))
+    order = W.partitionBy("_at.b").orderBy(F.col("_at.g"), key.desc_nulls_last(), F.xxhash64(*(ties or columns)))
     led = placed.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where(F.col("_at.g") == 0)
     return led.withColumns({f"next_{c}": F.col("_next")[c] for c in columns}).drop("_next", "_at", "_bucket")
 

@@ -79,10 +79,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     fp = fingerprints
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = fp.with_next(docs, "doc_id", ["text"])
+    # a text is digested once: the next document's digests and base come along with its text
+    rows = fp.with_next(fp.fingerprint(docs, "text"), "doc_id", ["text", "digests", "base"], ties=["text"])
     rows = rows.withColumn("edited", fp.edited_text(F.col("text"), F.col("next_text")))
-    for name, prefix in (("text", ""), ("edited", "edited_"), ("next_text", "next_")):
-        rows = fp.fingerprint(rows, name, prefix)
+    rows = fp.fingerprint(rows, "edited", "edited_")
     near = lambda p: fp.likeness(F.col("digests"), F.col(p + "digests"), F.col(p + "differing"))
     for p in ("edited_", "next_"):
         rows = rows.withColumn(p + "differing", fp.difference(*map(F.col, ("digests", p + "digests", "base", p + "base"))))

@@ -384,6 +384,38 @@ def test_peeling_needs_no_fallback(spark):
     assert done >= 5
 
 
+def test_a_text_is_digested_once(spark):
+    """Its own and its edited text: the next document's digests come with the next document."""
+    plan = queries.op6_fingerprints(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[abist]") == 2
+
+
+def test_breaks_by_replacement(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choices(" .!?…。！؟\n,;:，、abehinst\t\U0001f600", k=n)),) for n in [0, 1, 2, 3, 5, 8, 40, 299, 301, 2_000] * 20]
+    rows += [("".join(rng.choices(" ,;:，、aeinst", k=n)),) for n in (300, 301, 302, 900) * 20]
+    for r in spark.createDataFrame(rows, "text string").select("text", F.size(fingerprints.digests(F.col("text"))).alias("n")).collect():
+        assert r.n == len(units(r.text))
+
+
+def test_differences_of_any_size(spark):
+    def checked(x):
+        return common.let(F.xxhash64(x).bitwiseAND(F.lit(-65536)), lambda h: h.bitwiseOR(F.xxhash64(h).bitwiseAND(F.lit(65535))))
+
+    rows = [(k, list(range(n)), list(range(n - k, n - k + m))) for n, m in ((0, 0), (1, 0), (9, 9), (40, 3), (700, 300)) for k in (0, n // 2, n)]
+    df = spark.createDataFrame(rows, "k int, a array<long>, b array<long>").withColumns({c: F.transform(c, checked) for c in "ab"})
+    a, b, one = F.col("a"), F.col("b"), F.lit(1)
+    both = fingerprints.sketch(F.concat(a, b), F.lit(50), 7)
+    apart = fingerprints.subtract(fingerprints.sketch(a, F.lit(50), 7), fingerprints.sketch(b, F.lit(50), 7))
+    near = fingerprints.difference(a, b, fingerprints.sketch(a, one), fingerprints.sketch(b, one))
+    # a base that peels to a digest of neither set is no result
+    false = fingerprints.difference(a, b, fingerprints.sketch(F.array(checked(F.lit(-5).cast("long"))), one), fingerprints.sketch(F.array().cast("array<long>"), one))
+    for r in df.select("a", "b", (both == apart).alias("same"), near.alias("near"), false.alias("false")).collect():
+        assert r.same and sorted(r.near) == sorted(r.false) == sorted(set(r.a) ^ set(r.b))
+
+
 def test_next_rows_over_many_ranges(spark):
     import random
 
